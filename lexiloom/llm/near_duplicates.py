@@ -30,6 +30,8 @@ from .textblock import SPACE, U64, blocks, column, mix, word_hashes, words
 VALUES, BITS, CHUNKS = 64, 8, 12
 DISTANCE = 2 * CHUNKS - 1
 THRESHOLD = 85  # per cent of the union
+#: Size of the filter that spares texts outside all candidate pairs the shuffle; a full one only spares less.
+FILTER_BITS = 22
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(0, 2**63, VALUES, dtype=U64) * U64(2) + U64(1)
 _ADD = _RNG.integers(0, 2**64, VALUES, dtype=U64)
@@ -95,8 +97,24 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key.slice(lo, hi - lo).cast(pa.int64()), size, whole[:, 0].view(np.int64), whole[:, 1].view(np.int64), pa.array([c.tobytes() for c in code], pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(U64)) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """64-bit words of the id filter, of which each id sets a bit."""
+    for batch in batches:
+        slot = _slots(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([slot >> 6, (U64(1) << (slot & 63).astype(U64)).view(np.int64)], ["word", "bits"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
+    """Shingle sets of the documents whose ids pass the filter."""
+    bits = np.frombuffer(marks.value, U64)
     for batch in batches:
+        ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        slot = _slots(ids)
+        batch = batch.filter(pa.array((bits[slot >> 6] >> (slot & 63).astype(U64) & U64(1)).astype(bool)))
         texts, key = column(batch, "text"), batch.column(0)
         for lo, hi, data, off in blocks(texts):
             values, first = shingle_sets(data, off)
@@ -159,7 +177,14 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame
     near = pairs.join(x, "a").join(y, "b").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * THRESHOLD).select("a", "b", "x", "y")
     near = written(near.mapInArrow(_near, "a long, b long"), "near")
     ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-    sets = written(texts.join(ends, "rep", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>"), "sets")
+    ends = written(ends, "ends")
+    words = ends.mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words.toLocalIterator():  # at most 2 ** (FILTER_BITS - 6) rows
+        filled[r.word] = r.bits
+    marks = texts.sparkSession.sparkContext.broadcast(filled.tobytes())
+    sets = texts.mapInArrow(lambda it: _sets(it, marks), "rep long, shingles array<long>")  # the filter has no false negatives
+    sets = written(sets.join(ends, "rep", "left_semi"), "sets")
     found = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
     both = F.size(F.array_intersect("s", "t"))
     return found.select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("sum")).where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * THRESHOLD).select("a", "b")
