@@ -8,7 +8,8 @@ exceeds 23 in about one of 100,000 borderline pairs; candidates are confirmed on
 
 Pairs are not expanded within a key. First, every set is compared with the smallest one under each of its keys (the
 hub); links give components. Only under keys where several components meet are sets of different components compared.
-What is left untested lies inside one component already, so the components are those of all candidate pairs.
+What is left untested lies inside one component already, so the components are those of all candidate pairs. Links are
+then counted anew: all sets of a component are compared with each other, in blocks, so none of its links is missed.
 
 Nulls and texts without words have empty sets and link with nothing. Equal sets are one class, whatever their number.
 Rows with the same doc_id give a row each; the smallest doc_id names the component; a null doc_id is no smaller than any.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ DISTANCE = 2 * CHUNKS - 1
 THRESHOLD = 85  # per cent of the union
 #: Size of the filter that spares texts outside all candidate pairs the shuffle; a full one only spares less.
 FILTER_BITS = 22
+#: About so many sets and shingles of a component are in one block; two blocks are compared in one task.
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 500_000
+#: Shingles whose membership is compared at once.
+BLOCK_COLUMNS = 4096
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(0, 2**63, VALUES, dtype=U64) * U64(2) + U64(1)
 _ADD = _RNG.integers(0, 2**64, VALUES, dtype=U64)
@@ -147,6 +153,75 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
 
+def degrees(values: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many sets each set is linked with: of the other block, or, where all are of one block, of the other sets."""
+    size, doc = np.diff(first), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times > 1
+    at, doc = (np.cumsum(shared) - 1)[at[shared[at]]], doc[shared[at]]
+    by = np.argsort(at, kind="stable")
+    at, doc = at[by], doc[by]
+    one = own.min() == own.max()
+    x = np.arange(len(own)) if one else np.flatnonzero(own == own.min())
+    y = x if one else np.flatnonzero(own == own.max())
+    both = np.zeros((len(x), len(y)), np.float32)  # whole numbers under 2 ** 24
+    for lo in range(0, int(shared.sum()), BLOCK_COLUMNS):
+        part = slice(*np.searchsorted(at, [lo, lo + BLOCK_COLUMNS]))
+        has = np.zeros((len(own), min(BLOCK_COLUMNS, int(shared.sum()) - lo)), np.float32)
+        has[doc[part], at[part] - lo] = 1
+        both += has[x] @ has[y].T
+    n = both.astype(np.int64)
+    linked = n * 100 >= (size[x][:, None] + size[y][None, :] - n) * THRESHOLD
+    if one:
+        np.fill_diagonal(linked, False)
+        return linked.sum(axis=1)
+    out = np.zeros(len(own), np.int64)
+    out[x], out[y] = linked.sum(axis=1), linked.sum(axis=0)
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, n) by group, of rows (root, i, j, own, rep, shingles) that stand by group (root, i, j)."""
+
+    def count(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        sets, own = t["shingles"].combine_chunks(), t["own"].to_numpy()
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(sets).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        if i != j and own.min() == own.max():  # the other block has no sets
+            n = np.zeros(len(own), np.int64)
+        else:
+            n = degrees(sets.flatten().to_numpy(zero_copy_only=False), first, own)
+        return pa.RecordBatch.from_arrays([t["rep"].combine_chunks(), pa.array(n)], ["rep", "n"])
+
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            here = tuple(k[:, lo])
+            if held and here != key:
+                yield count(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            key = here
+    if held:
+        yield count(held)
+
+
+def _degree(roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, n_links) for components (node, root) of at least two sets, from the sets (rep, shingles) of all nodes."""
+    sets = sets.join(roots.withColumnRenamed("node", "rep"), "rep")
+    parts = sets.groupBy("root").agg(F.count("*").alias("c"), F.sum(F.size("shingles")).alias("s"))
+    parts = parts.select("root", F.expr(f"1 + greatest(c div {BLOCK_SETS}, s div {BLOCK_SHINGLES})").alias("parts"))
+    rows = sets.join(parts, "root").withColumn("own", F.expr("pmod(xxhash64(rep), parts)"))
+    rows = rows.withColumn("k", F.explode(F.expr("sequence(0L, parts - 1)"))).select("root", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "rep", "shingles")
+    rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return rows.mapInArrow(_counted, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
 def connected(edges: DataFrame, written=written) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the smallest node of its component.
 
@@ -170,8 +245,8 @@ def connected(edges: DataFrame, written=written) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Distances are tested first, on signatures."""
+def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose full sets are similar enough, and the sets. Distances are tested first, on signatures."""
     x = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx"))
     y = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny"))
     near = pairs.join(x, "a").join(y, "b").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * THRESHOLD).select("a", "b", "x", "y")
@@ -187,13 +262,13 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame
     sets = written(sets.join(ends, "rep", "left_semi"), "sets")
     found = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
     both = F.size(F.array_intersect("s", "t"))
-    return found.select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("sum")).where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * THRESHOLD).select("a", "b")
+    return found.select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("sum")).where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * THRESHOLD).select("a", "b"), sets
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id, n_links): ``docs`` by component of linked documents.
 
-    ``class_id`` is the smallest doc_id with the same set, ``n_links`` how many other classes this one was found linked with.
+    ``class_id`` is the smallest doc_id with the same set, ``n_links`` with how many other classes this one is linked.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(docs.mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
@@ -204,7 +279,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     members = written(keyed.join(hubs, "key"), "members")
     texts = docs.withColumnRenamed("doc_id", "rep")
     tested = members.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_confirmed(tested, sigs, texts), "links")
+    links, sets = _confirmed(tested, sigs, texts)
+    links = written(links, "links")
     roots = connected(links)
     # keys under which several components meet
     of = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
@@ -212,11 +288,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     of = written(of.join(mixed, "key", "left_semi"), "mixed")
     left, right = (of.select("key", F.col("rep").alias(a), F.col("root").alias(r)) for a, r in (("a", "ra"), ("b", "rb")))
     others = left.join(right, "key").where("ra <> rb and a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(_confirmed(others, sigs, texts), "links")
+    more, further = _confirmed(others, sigs, texts)
+    more = written(more, "links")
     if not more.isEmpty():
         links = written(links.unionByName(more), "links")
         roots = connected(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = written(_degree(roots, sets.unionByName(further.join(sets, "rep", "left_anti"))), "degrees")
     classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("n", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = signed.drop("sig").join(classes, ["n", "h1", "h2"], "left")
     alone = F.expr("n = 0 or root is null or doc_id is null")
