@@ -12,7 +12,9 @@ What is left untested lies inside one component already, so the components are t
 then counted anew: all sets of a component are compared with each other, in blocks, so none of its links is missed.
 
 Nulls and texts without words have empty sets and link with nothing. Equal sets are one class, whatever their number.
-Rows with the same doc_id give a row each; the smallest doc_id names the component; a null doc_id is no smaller than any.
+Links join sets, whatever their doc_ids: different texts under one doc_id are different sets. Rows with the same doc_id
+give a row each; the smallest doc_id names the component; a null doc_id is no smaller than any. If several sets of a
+component have that doc_id, the rows of one are kept. Components that aren't linked can share a name.
 An empty table gives no rows.
 """
 
@@ -25,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import table, written
 from .textblock import SPACE, U64, blocks, column, mix, word_hashes, words
@@ -87,6 +90,18 @@ def signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_hashes(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two hashes of every whole set and a third one of both, its node id (0 for empty sets)."""
+    size = np.diff(first)
+    some = np.flatnonzero(size)
+    out = np.zeros((len(size), 3), U64)
+    if len(some):
+        out[some, 0] = np.add.reduceat(mix(values), first[some])
+        out[some, 1] = np.add.reduceat(mix(values ^ U64(0x5851F42D4C957F2D)), first[some])
+        out[some, 2] = mix(out[some, 0] + mix(out[some, 1] ^ size[some].astype(U64)))
+    return out.view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, key = column(batch, "text"), batch.column(0)
@@ -95,12 +110,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(first)
             some = np.flatnonzero(size)
             code = np.zeros((hi - lo, VALUES), np.uint8)
-            whole = np.zeros((hi - lo, 2), U64)
             if len(some):
                 code[some] = signatures(values, first)
-                whole[some, 0] = np.add.reduceat(mix(values), first[some])
-                whole[some, 1] = np.add.reduceat(mix(values ^ U64(0x5851F42D4C957F2D)), first[some])
-            yield pa.RecordBatch.from_arrays([key.slice(lo, hi - lo).cast(pa.int64()), size, whole[:, 0].view(np.int64), whole[:, 1].view(np.int64), pa.array([c.tobytes() for c in code], pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
+            whole = whole_hashes(values, first)
+            yield pa.RecordBatch.from_arrays([key.slice(lo, hi - lo).cast(pa.int64()), size, *whole.T.copy(), pa.array([c.tobytes() for c in code], pa.binary())], ["doc_id", "n", "h1", "h2", "rep", "sig"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Rows with _n, _h1, _h2 of their sets."""
+    for batch in batches:
+        for lo, hi, data, off in blocks(column(batch, text)):
+            values, first = shingle_sets(data, off)
+            whole = whole_hashes(values, first)
+            yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(np.diff(first)), pa.array(whole[:, 0]), pa.array(whole[:, 1])], [*batch.schema.names, "_n", "_h1", "_h2"])
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -121,11 +143,11 @@ def _sets(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         slot = _slots(ids)
         batch = batch.filter(pa.array((bits[slot >> 6] >> (slot & 63).astype(U64) & U64(1)).astype(bool)))
-        texts, key = column(batch, "text"), batch.column(0)
-        for lo, hi, data, off in blocks(texts):
+        for _, _, data, off in blocks(column(batch, "text")):
             values, first = shingle_sets(data, off)
+            node = whole_hashes(values, first)[:, 2].copy()
             sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([key.slice(lo, hi - lo), sets], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), sets], ["rep", "shingles"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,28 +275,26 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[Dat
     near = written(near.mapInArrow(_near, "a long, b long"), "near")
     ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
     ends = written(ends, "ends")
-    words = ends.mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = sigs.join(ends, "rep", "left_semi").select("class_id").mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in words.toLocalIterator():  # at most 2 ** (FILTER_BITS - 6) rows
         filled[r.word] = r.bits
     marks = texts.sparkSession.sparkContext.broadcast(filled.tobytes())
     sets = texts.mapInArrow(lambda it: _sets(it, marks), "rep long, shingles array<long>")  # the filter has no false negatives
-    sets = written(sets.join(ends, "rep", "left_semi"), "sets")
+    sets = sets.join(ends, "rep", "left_semi").groupBy("rep").agg(F.first("shingles").alias("shingles"))  # of rows with equal texts one
+    sets = written(sets, "sets")
     found = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
     both = F.size(F.array_intersect("s", "t"))
     return found.select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("sum")).where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * THRESHOLD).select("a", "b"), sets
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, class_id, n_links): ``docs`` by component of linked documents.
-
-    ``class_id`` is the smallest doc_id with the same set, ``n_links`` with how many other classes this one is linked.
-    """
+def _found(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """The columns of ``near_duplicates`` with n, h1 and h2 of every row's set."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(docs.mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
-    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    sigs = classes.select("rep", "sig", "n")
-    keyed = sigs.mapInArrow(_keys, "rep long, sig binary, n long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    signed = written(docs.mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, rep long, sig binary"), "signed")
+    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2", "rep").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig")), "classes")
+    sigs = classes.select("rep", "class_id", "sig", "n")
+    keyed = sigs.select("rep", "sig", "n").mapInArrow(_keys, "rep long, sig binary, n long, keys array<long>").select("rep", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("top > hub").drop("top")
     members = written(keyed.join(hubs, "key"), "members")
     texts = docs.withColumnRenamed("doc_id", "rep")
@@ -294,25 +314,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         links = written(links.unionByName(more), "links")
         roots = connected(links)
     degree = written(_degree(roots, sets.unionByName(further.join(sets, "rep", "left_anti"))), "degrees")
-    classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("n", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.drop("sig").join(classes, ["n", "h1", "h2"], "left")
-    alone = F.expr("n = 0 or root is null or doc_id is null")
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("root"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
+    linked = roots.withColumnRenamed("node", "rep").join(classes.select("rep", "class_id"), "rep")
+    names = linked.groupBy("root").agg(F.min(F.struct("class_id", "rep")).alias("first"))
+    linked = linked.select("rep", "root").join(names, "root").join(degree, "rep").select("rep", "first", "n_links")
+    classes = classes.join(linked, "rep", "left").select("n", "h1", "h2", "class_id", F.coalesce("first.class_id", "class_id").alias("component_id"), F.coalesce(F.col("first.rep") == F.col("rep"), F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = signed.drop("sig", "rep").join(classes, ["n", "h1", "h2"], "left")
+    alone = F.expr("n = 0 or component_id is null or doc_id is null")
+    kept = alone | ((F.col("doc_id") == F.col("component_id")) & F.col("first"))
+    own = lambda c, value: F.when(alone, value).otherwise(F.col(c)).alias(c)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id", F.col("doc_id")), kept.alias("kept"), own("class_id", F.col("doc_id")), own("n_links", F.lit(0)), "n", "h1", "h2")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, class_id, n_links): ``docs`` by component of linked documents.
+
+    ``class_id`` is the smallest doc_id with the same set, ``n_links`` with how many other classes this one is linked.
+    """
+    return _found(docs, text, key).drop("n", "h1", "h2")
 
 
 def one_per_component(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, own columns only, whose doc_id names their component; rows with a null doc_id stay.
+    """One row of ``docs`` per component, own columns only; rows without words or with a null doc_id stay.
 
-    Of rows that share a kept doc_id one stays, of rows that share a dropped one none.
+    Rows are judged by their sets. Of rows that share a kept doc_id and its set, the first by content stays.
     """
-    found = near_duplicates(docs, text, key)
-    ids = written(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.max("kept").alias("_kept")).where("_n > 1 or not _kept"), "ids")
+    found = written(_found(docs, text, key).where("doc_id is not null"), "found")
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept")).where("_rows > 1 or not _kept")
+    ids = written(ids, "ids")
     here = F.col(key).cast("long") == F.col("_id")
     alone = docs.join(ids.select("_id"), here, "left_anti")
-    first = Window.partitionBy("_id").orderBy(F.xxhash64(text), F.lit(0))
-    shared = docs.join(ids.where("_kept").select("_id"), here).withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return alone.unionByName(shared.select(*docs.columns))
+    many = ids.where("_rows > 1").select("_id")
+    sets = found.where("kept").join(many, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_doc"), F.col("n").alias("_m"), F.col("h1").alias("_g1"), F.col("h2").alias("_g2")).distinct()
+    rows = docs.join(many, here)
+    schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in ("_n", "_h1", "_h2"))])
+    rows = rows.mapInArrow(lambda it: _hashed(it, text), schema)
+    rows = rows.join(sets, F.expr("_id = _doc and _n = _m and _h1 = _g1 and _h2 = _g2"), "left_semi")
+    first = Window.partitionBy("_id", "_n", "_h1", "_h2").orderBy(F.xxhash64(text))
+    rows = rows.withColumn("_row", F.row_number().over(first)).where("_row = 1 or _n = 0")
+    return alone.unionByName(rows.select(*docs.columns))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

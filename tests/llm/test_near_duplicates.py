@@ -36,3 +36,14 @@ def test_every_link_of_a_component_counts(spark, monkeypatch, blocks):
     got = {r.doc_id: r for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[d].n_links for d in range(len(texts))] == true_links(texts)
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.components(rows)
+
+
+def test_texts_under_one_doc_id_are_judged_apart(spark):
+    a, near = copies(2, 150, 2, 5)
+    b = copies(1, 150, 1, 6)[0]
+    rows = [(5, a), (5, b), (3, near), (7, "x y z"), (7, "p q r"), (7, "x y z"), (8, ""), (8, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, nd.one_per_component(docs).collect()), key=repr)
+    assert got == sorted([(5, b), (3, near), (7, "x y z"), (7, "p q r"), (8, ""), (8, None), (None, a)], key=repr)
+    links = {(r.doc_id, r.component_id, r.n_links) for r in nd.near_duplicates(docs).collect()}
+    assert links == {(5, 3, 1), (5, 5, 0), (3, 3, 1), (7, 7, 0), (8, 8, 0), (None, None, 0)}
