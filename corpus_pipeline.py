@@ -1,6 +1,6 @@
 """A training corpus in five stages; each takes (spark, docs, sf_dir), and its result is written and read as the next one's docs.
 
-All stages but the last return the columns of ``documents``. Quality rules drop the documents they reject; near-duplicate
+All stages return the columns of ``documents``, the last one also shard and slot. Quality rules drop the documents they reject; near-duplicate
 detection keeps one document of each component; decontamination cuts benchmark passages out of texts; mixing keeps what
 each source's budget takes, with whole copies and a cut last text; sharding adds each row's place.
 """
@@ -33,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.sharded(docs)
+    return sharding.sharded_documents(docs)
 
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix), ("sharding", shard)]

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .shared import table
 
@@ -46,11 +47,12 @@ def _assign(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*rest.columns, *new], [*rest.schema.names, "shard", "grown_shard"])
 
 
-def sharded(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
+def _placed(docs: DataFrame, shards: int, text: str, key: str, *more: Column) -> DataFrame:
+    """(doc_id, size, text_crc32, ``more``, shard, grown_shard, slot) of every row."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.xxhash64(F.col(key).cast("string")).alias("_key"))
-    rows = rows.mapInArrow(lambda it: _assign(it, shards), "doc_id long, size long, text_crc32 long, shard int, grown_shard int")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), *more, F.xxhash64(F.col(key).cast("string")).alias("_key"))
+    schema = StructType([*(f for f in rows.schema.fields if f.name != "_key"), StructField("shard", IntegerType()), StructField("grown_shard", IntegerType())])
+    rows = rows.mapInArrow(lambda it: _assign(it, shards), schema)
     buckets = 1 + docs.select(key).count() // (shards * BUCKET_ROWS)
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
     # at most shards * buckets rows: one for every BUCKET_ROWS documents or so
@@ -62,7 +64,18 @@ def sharded(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "d
         counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
         rows = rows.join(counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), ["shard", "_bucket"])
         slot = F.col("_before") + F.row_number().over(within) - 1
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard")
+    return rows.withColumn("slot", slot.cast("long"))
+
+
+def sharded(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
+    return _placed(docs, shards, text, key).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def sharded_documents(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, own columns and (shard, slot); slots are those of ``sharded``."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return _placed(docs, shards, text, key, whole).select("_row.*", "shard", "slot")
 
 
 def with_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
