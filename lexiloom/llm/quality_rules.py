@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import let, table, written
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 RISK, ERROR = 0.01, 0.05
@@ -42,11 +42,6 @@ _PLACE = 26  # bits of a word's position beside its window's hash
 _SPACES = "[ \t\n\x0b\x0c\r]+"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once a row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _repeated(w: Column) -> Column:
     """Words of the array that lie in 3-word windows found twice or more.
 
