@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_duplicates, preferences, quality_rules, sharding, url_filters
+from . import context_tree, decontaminate, mixing, near_duplicates, preferences, quality_classifier, quality_rules, sharding, url_filters
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
     "op3_minhash_near_dedup": near_duplicates.op3,
     "op4_benchmark_decontamination": decontaminate.op4,
+    "op5_context_tree_weighting": context_tree.op5,
+    "op6_quality_classifier": quality_classifier.op6,
     "op7_url_templates": url_filters.op7,
     "op8_jump_sharding": sharding.op8,
     "op9_preference_formatting": preferences.op9,
