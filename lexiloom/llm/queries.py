@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontaminate, mixing, near_duplicates, preferences, quality_classifier, quality_rules, sharding, url_filters
+from . import context_tree, decontaminate, mixing, near_duplicates, pii, preferences, quality_classifier, quality_rules, sharding, url_filters
 
 QUERIES = {
+    "op1_pii_disclosure": pii.op1,
     "op2_quality_rules": quality_rules.op2,
     "op3_minhash_near_dedup": near_duplicates.op3,
     "op4_benchmark_decontamination": decontaminate.op4,
