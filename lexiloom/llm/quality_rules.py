@@ -1,20 +1,26 @@
 """Quality rules with risk-controlled thresholds (operator 2), with DataFrame operations only.
 
 Fixed rules reject texts of under ``LEAST_WORDS`` words, or with more than half their words in repeated 3-word windows.
-The other rules compare a ratio with a cutoff that labelled documents select, per stratum (language) and rule:
-
-- candidate cutoffs stand in a fixed order, from loose to strict; the labelled good documents that a cutoff rejects are
-  binomial, and a cutoff is certified if the exact binomial tail P(X <= k | n, ``RISK``) is at most its error level;
-  that is, if the Clopper-Pearson upper bound of its false rejection rate is at most ``RISK``;
-- the levels of all strata and rules add up to ``ERROR`` (Bonferroni); within a rule, cutoffs are tested in their order
-  until one isn't certified (fixed sequence), which needs no further correction;
-- of the certified cutoffs the one that tells bad from good best is taken, the loosest of equals; if none is, or a
-  stratum has too few labels to certify any, the rule rejects nothing there.
-
-So with probability 1 - ERROR, each rule falsely rejects at most a share RISK of the good documents of each stratum.
+The other rules compare ratios with cutoffs that labelled documents select, per stratum (language):
+
+- all rules are tightened together along a path that is fixed beforehand: ``STEPS`` vectors of cutoffs, from loose to
+  strict, each step tightening one rule;
+- the labelled good documents that a step's verdict (any rule) rejects are binomial, and a step is certified if the
+  exact binomial tail P(X <= k | n, ``RISK``) is at most its error level, that is, if the Clopper-Pearson upper bound of
+  the verdict's false rejection rate is at most ``RISK``;
+- steps are tested in order until one isn't certified (fixed sequence, which needs no further correction); the strata
+  share ``ERROR`` equally (Bonferroni);
+- of the certified steps the one that tells bad from good best is taken, the loosest of equals; if none is, or a stratum
+  has too few labels to certify any, the learned rules reject nothing there.
+
+So with probability 1 - ERROR, in every stratum the learned verdict falsely rejects at most a share RISK of the good
+documents that pass the fixed rules. With m strata a step without a single false rejection needs
+log(ERROR / m) / log(1 - RISK) good labels: 217 for four. A trial is a doc_id, and of equal texts one.
 
 A null text has no words. A null stratum is a stratum of its own. Labels that are null don't count; documents labelled
-more than once count as bad if any label is. Rows with one doc_id are judged one by one. Empty tables: no rows, no cutoffs.
+more than once count as bad if any label is. Rows with one doc_id are judged one by one. Texts of 2 ** 26 words or more
+have their windows sorted by words, not by hash. Ratios equal to a cutoff pass. Extra columns stay or are ignored,
+whatever their names. Empty tables: no rows, no cutoffs.
 """
 
 from __future__ import annotations
@@ -28,16 +34,28 @@ from pyspark.sql import functions as F
 from .shared import let, table, written
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
-RISK, ERROR = 0.01, 0.05
-_FALLING = (5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)
+RISK, ERROR = 0.02, 0.05
 #: Rule -> ratio and its cutoffs, loose to strict; a value above its cutoff rejects.
-RULES: dict[str, tuple[Callable[[], Column], tuple[float, ...]]] = {
-    "symbols": (lambda: F.col("n_symbols") / F.greatest("n_words", F.lit(1)), _FALLING),
-    "dup_lines": (lambda: F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2)),
-    "repeats": (lambda: F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
-    "long_words": (lambda: F.col("word_chars") / F.greatest("n_words", F.lit(1)), (50.0, 30.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0)),
-    "short_words": (lambda: -F.col("word_chars") / F.greatest("n_words", F.lit(1)), (-1.0, -1.5, -2.0, -2.5, -3.0, -3.5)),
+RULES: dict[str, tuple[Callable[[Callable[[str], Column]], Column], tuple[float, ...]]] = {
+    "symbols": (lambda f: f("n_symbols") / F.greatest(f("n_words"), F.lit(1)), (5.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2)),
+    "dup_lines": (lambda f: f("n_dup_lines") / F.greatest(f("n_lines"), F.lit(1)), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3)),
+    "repeats": (lambda f: f("n_repeat_words") / F.greatest(f("n_words"), F.lit(1)), (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
+    "long_words": (lambda f: f("word_chars") / F.greatest(f("n_words"), F.lit(1)), (50.0, 30.0, 20.0, 16.0, 14.0, 13.0)),
+    "short_words": (lambda f: -f("word_chars") / F.greatest(f("n_words"), F.lit(1)), (-1.0, -1.5, -2.0, -2.5)),
 }
+
+
+def _path() -> list[dict[str, float]]:
+    """Cutoff vectors: each step tightens the rule that has gone the smallest part of its way; before its first cutoff a rule is off."""
+    at, out = dict.fromkeys(RULES, 0), []
+    while any(at[r] < len(RULES[r][1]) for r in RULES):
+        r = min((r for r in RULES if at[r] < len(RULES[r][1])), key=lambda r: at[r] / len(RULES[r][1]))
+        at[r] += 1
+        out.append({q: RULES[q][1][at[q] - 1] if at[q] else math.inf for q in RULES})
+    return out
+
+
+STEPS = _path()
 _PLACE = 26  # bits of a word's position beside its window's hash
 _SPACES = "[ \t\n\x0b\x0c\r]+"
 
@@ -64,7 +82,7 @@ def _repeated(w: Column) -> Column:
         return F.when(F.size(c) == 0, F.lit(0)).when(clash, exact()).otherwise(covered(F.transform(c, at)))
 
     found = let(F.sort_array(code), lambda s: let(near(s, lambda x, y: top(x) == top(y)), of))
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(found)
+    return F.when(F.size(w) < 4, F.lit(0)).when(F.size(w) >= 1 << _PLACE, exact()).otherwise(found)
 
 
 def features(text: Column) -> Column:
@@ -82,12 +100,19 @@ def features(text: Column) -> Column:
     return let(F.filter(F.split(t, _SPACES), lambda x: x != ""), inner)
 
 
+def _failed(f: Callable[[str], Column]) -> Column:
+    return (f("n_words") < LEAST_WORDS) | (100 * f("n_repeat_words") > MOST_REPEATED * f("n_words"))
+
+
+def _stratum(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("\x00"))
+
+
 def measured(docs: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
-    """(doc_id, stratum, counts, base_failed) of every row."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")).alias("stratum"), features(F.col(text)).alias("f"))
-    rows = rows.select("doc_id", "stratum", "f.n_words", "f.word_chars", "f.n_symbols", F.col("f.l.n_lines").alias("n_lines"), F.col("f.l.n_dup_lines").alias("n_dup_lines"), "f.n_repeat_words")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return rows.withColumn("base_failed", failed)
+    """(doc_id, stratum, text_hash, counts, base_failed) of every row."""
+    rows = docs.select(F.col(key).alias("doc_id"), _stratum(stratum).alias("stratum"), F.xxhash64(text).alias("text_hash"), features(F.col(text)).alias("f"))
+    rows = rows.select("doc_id", "stratum", "text_hash", "f.n_words", "f.word_chars", "f.n_symbols", F.col("f.l.n_lines").alias("n_lines"), F.col("f.l.n_dup_lines").alias("n_dup_lines"), "f.n_repeat_words")
+    return rows.withColumn("base_failed", _failed(F.col))
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -103,47 +128,51 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(F.exp(total))
 
 
+def _step(f: Callable[[str], Column]) -> Column:
+    """The first step (from 0) whose verdict rejects; their number if none does."""
+    passed = lambda r: F.size(F.filter(F.array(*[F.lit(v[r]) for v in STEPS]), lambda c: RULES[r][0](f) <= c))
+    return F.least(*map(passed, RULES))
+
+
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, a cutoff per rule, null where none) from measured rows and labels (doc_id, quality)."""
+    """(stratum, step) of strata with a certified step, from measured rows and labels (doc_id, quality)."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    seen = rows.where("not base_failed").join(known, "doc_id")
-    def level(name: str) -> Column:
-        value, cuts = RULES[name]
-        over = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: value() > c)
-        return F.struct(F.lit(name).alias("rule"), F.size(over).alias("level"), F.lit(len(cuts)).alias("most"))
-
-    ratios = F.array(*map(level, RULES))
-    counts = written(seen.select("stratum", "good", F.explode(ratios).alias("x")).groupBy("stratum", "good", "x.rule", "x.level", "x.most").agg(F.count("*").alias("n")), "levels")
-    totals = counts.groupBy("stratum", "rule", "most").agg(F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)).alias("n_good"), F.sum(F.when(F.col("good") == 0, F.col("n")).otherwise(0)).alias("n_bad"))
-    tests = totals.select("*", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("g"))
-    hit = counts.where("level > 0").select("stratum", "rule", "good", "n", F.explode(F.sequence(F.col("most") - F.col("level"), F.col("most") - 1)).alias("g"))
-    hit = hit.groupBy("stratum", "rule", "g").agg(F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)).alias("k_good"), F.sum(F.when(F.col("good") == 0, F.col("n")).otherwise(0)).alias("k_bad"))
-    tests = tests.join(hit, ["stratum", "rule", "g"], "left").fillna(0, ["k_good", "k_bad"])
-    strata = Window.partitionBy(F.lit(0))
-    tests = tests.withColumn("m", F.size(F.collect_set("stratum").over(strata)) * len(RULES)).withColumn("p", binomial_tail(F.col("k_good"), F.col("n_good"), risk))
-    tests = tests.withColumn("worst", F.max("p").over(Window.partitionBy("stratum", "rule").orderBy("g")))
+    seen = rows.where("not base_failed").select("doc_id", "stratum", "text_hash", _step(F.col).alias("step")).join(known, "doc_id")
+    # a doc_id is one trial, and so is a text
+    one = seen.groupBy("doc_id").agg(F.min(F.struct("text_hash", "stratum", "step", "good")).alias("x")).select("x.*")
+    one = one.groupBy("stratum", "text_hash").agg(F.min("step").alias("step"), F.min("good").alias("good"))
+    counts = written(one.groupBy("stratum", "step").agg(*[F.sum((F.col("good") == g).cast("long")).alias(n) for g, n in ((1, "good"), (0, "bad"))]), "steps")
+    totals = counts.groupBy("stratum").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
+    strata = totals.agg(F.count("*").alias("m"))
+    tests = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(STEPS) - 1))).alias("step")).join(counts, ["stratum", "step"], "left").fillna(0, ["good", "bad"])
+    so_far = Window.partitionBy("stratum").orderBy("step")  # a row a step
+    tests = tests.withColumns({"k_good": F.sum("good").over(so_far), "k_bad": F.sum("bad").over(so_far)})
+    tests = tests.withColumn("worst", F.max(binomial_tail(F.col("k_good"), F.col("n_good"), risk)).over(so_far)).join(F.broadcast(strata))  # one row
     gain = F.col("k_bad") / F.greatest("n_bad", F.lit(1)) - F.col("k_good") / F.greatest("n_good", F.lit(1))
-    best = tests.where((F.col("worst") <= F.lit(error) / F.col("m")) & (gain > 0)).groupBy("stratum", "rule").agg(F.max_by("g", F.struct(gain.alias("gain"), (-F.col("g")).alias("g"))).alias("g"))
-    one = lambda r: F.get(F.array(*[F.lit(c) for c in RULES[r][1]]), F.max(F.when(F.col("rule") == r, F.col("g"))))
-    return best.groupBy("stratum").agg(*[one(r).alias(f"cut_{r}") for r in RULES])
+    certified = tests.where((F.col("worst") <= F.lit(error) / F.col("m")) & (gain > 0))
+    return certified.groupBy("stratum").agg(F.max_by("step", F.struct(gain.alias("gain"), (-F.col("step")).alias("s"))).alias("cut_step"))
+
+
+def _kept(f: Callable[[str], Column]) -> Column:
+    return ~_failed(f) & (_step(f) > F.coalesce("cut_step", F.lit(-1)))
 
 
 def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Measured rows with ``kept``."""
-    over = F.lit(False)
-    for r, (value, _) in RULES.items():
-        over = over | F.coalesce(value() > F.col(f"cut_{r}"), F.lit(False))
-    return rows.join(cuts, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over)
+    return rows.join(cuts, "stratum", "left").withColumn("kept", _kept(F.col))
 
 
 def kept(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns. Texts aren't shuffled: counts are made again beside them."""
-    cuts = written(cutoffs(measured(docs, text, key, stratum), labels), "cutoffs")
+    """The rows of ``docs`` that pass, with their own columns. Only labelled rows are measured for the cutoffs, and texts aren't shuffled."""
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(f"`{stratum}`").alias("lang"))
+    ids = labels.where("quality is not null and doc_id is not null").select("doc_id").distinct()
+    cuts = written(cutoffs(written(measured(own.join(ids, "doc_id", "left_semi")), "labelled"), labels), "cutoffs")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("_row"), F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")).alias("stratum"), features(F.col(text)).alias("f"))
-    rows = rows.select("_row", "stratum", "f.n_words", "f.word_chars", "f.n_symbols", F.col("f.l.n_lines").alias("n_lines"), F.col("f.l.n_dup_lines").alias("n_dup_lines"), "f.n_repeat_words")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return judged(rows.withColumn("base_failed", failed), cuts).where("kept").select("_row.*")
+    rows = docs.select(whole.alias("_row"), _stratum(stratum).alias("stratum")).join(cuts, "stratum", "left")
+    # an array of one or none: a filter would be pushed down and its features computed a second time
+    part = lambda f: lambda c: f["l"][c] if c in ("n_lines", "n_dup_lines") else f[c]
+    passed = F.filter(F.array(features(F.col(f"_row.`{text}`"))), lambda f: _kept(part(f)))
+    return rows.select("_row", F.explode(passed)).select("_row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
