@@ -6,8 +6,9 @@ only about 1/(n+1) of the keys, all into the new one. Law ``key``: documents wit
 The slot is a gapless number in the shard. It needs no sort of a whole shard: rows fall into hash buckets, buckets are
 numbered by prefix sums of their counts, and only a bucket is sorted.
 
-Null texts have no bytes; a null doc_id is a key of its own. Rows with equal keys stay together, each with its own slot.
-Extra columns are ignored. An empty table gives no rows.
+Null texts have no bytes; a null doc_id is a key of its own. Rows with equal keys stay together, each with its own slot;
+among equal rows slots are in any order. A very long text is a row like others. Extra columns are ignored, or stay where
+rows are returned whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .shared import table
+from .shared import table, written
 
 #: Rows that a slot bucket should hold.
 BUCKET_ROWS = 200_000
+#: Parts into which equal rows are spread.
+SPREAD = 64
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -50,21 +53,22 @@ def _assign(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
 def _placed(docs: DataFrame, shards: int, text: str, key: str, *more: Column) -> DataFrame:
     """(doc_id, size, text_crc32, ``more``, shard, grown_shard, slot) of every row."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), *more, F.xxhash64(F.col(key).cast("string")).alias("_key"))
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), *more,
+        F.xxhash64(F.col(key).cast("string")).alias("_key"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("_spread"),
+    )
     schema = StructType([*(f for f in rows.schema.fields if f.name != "_key"), StructField("shard", IntegerType()), StructField("grown_shard", IntegerType())])
-    rows = rows.mapInArrow(lambda it: _assign(it, shards), schema)
-    buckets = 1 + docs.select(key).count() // (shards * BUCKET_ROWS)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
+    rows = written(rows.mapInArrow(lambda it: _assign(it, shards), schema), "sharded")
+    buckets = 1 + rows.count() // (shards * BUCKET_ROWS)
+    # equal rows are spread too: by the place at which they were read, which is written by now
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "_spread"), F.lit(buckets)))
     # at most shards * buckets rows: one for every BUCKET_ROWS documents or so
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
+    counts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
-    if buckets == 1:
-        slot = F.row_number().over(within) - 1
-    else:
-        counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-        rows = rows.join(counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), ["shard", "_bucket"])
-        slot = F.col("_before") + F.row_number().over(within) - 1
-    return rows.withColumn("slot", slot.cast("long"))
+    rows = rows.withColumn("_at", F.row_number().over(within)).join(counts, ["shard", "_bucket"])
+    return rows.withColumn("slot", (F.col("_before") + F.col("_at") - 1).cast("long"))
 
 
 def sharded(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -73,18 +77,9 @@ def sharded(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "d
 
 
 def sharded_documents(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, own columns and (shard, slot); slots are those of ``sharded``."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return _placed(docs, shards, text, key, whole).select("_row.*", "shard", "slot")
-
-
-def with_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` with their text, ready for ``write.partitionBy('shard')``; nothing is shuffled."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(key).cast("string")))
-    schema = docs.schema.add("shard", "int").add("grown_shard", "int") if not {"shard", "grown_shard"} & set(docs.columns) else None
-    if schema is None:
-        raise ValueError("the columns shard and grown_shard exist already")
-    return keyed.mapInArrow(lambda it: _assign(it, shards), schema)
+    """The rows of ``docs``, own columns and (shard, slot), in place of columns of these names; slots are those of ``sharded``."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    return _placed(docs, shards, text, key, F.struct(*own).alias("_row")).select("_row.*", "shard", "slot")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
