@@ -7,15 +7,18 @@ all pairs under the distance meet under a key. At a similarity of 0.85 the dista
 exceeds 23 in about one of 100,000 borderline pairs; candidates are confirmed on full sets.
 
 Pairs are not expanded within a key. First, every set is compared with the smallest one under each of its keys (the
-hub); links give components. Only under keys where several components meet are sets of different components compared.
-What is left untested lies inside one component already, so the components are those of all candidate pairs. Links are
-then counted anew: all sets of a component are compared with each other, in blocks, so none of its links is missed.
+hub); links give components. What stays untested are sets of different components under one key. Of these, two can be
+similar enough only if they share one of their rarest shingles (of n shingles the n - ceil(0.85 n) + 1 rarest among all
+such sets), so only those that do are compared: pages of one template meet under many keys, but not under
+what each has for itself. What is left untested otherwise lies inside one component, so the components are those of all
+candidate pairs. Links are then counted anew: all sets of a component are compared with each other, in blocks, so none
+of its links is missed.
 
 Nulls and texts without words have empty sets and link with nothing. Equal sets are one class, whatever their number.
 Links join sets, whatever their doc_ids: different texts under one doc_id are different sets. Rows with the same doc_id
 give a row each; the smallest doc_id names the component; a null doc_id is no smaller than any. If several sets of a
-component have that doc_id, the rows of one are kept. Components that aren't linked can share a name.
-An empty table gives no rows.
+component have that doc_id, the rows of one are kept. Components that aren't linked can share a name. A very long text is
+one set, an array in one row. Extra columns are ignored or stay, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,18 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import table, written
+from .shared import dropped, joined, table, written
 from .textblock import SPACE, U64, blocks, column, mix, word_hashes, words
 
 VALUES, BITS, CHUNKS = 64, 8, 12
 DISTANCE = 2 * CHUNKS - 1
 THRESHOLD = 85  # per cent of the union
-#: Size of the filter that spares texts outside all candidate pairs the shuffle; a full one only spares less.
-FILTER_BITS = 22
+#: The filter that spares texts outside all candidate pairs the shuffle has ``FILTER_LOAD`` bits for each set in a pair, but
+#: at most 2 ** FILTER_BITS (32 MB): beyond some 16 million such sets it spares less, and drops none at any size.
+FILTER_BITS, FILTER_LOAD = 28, 16
 #: About so many sets and shingles of a component are in one block; two blocks are compared in one task.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 500_000
 #: Shingles whose membership is compared at once.
@@ -125,23 +129,24 @@ def _hashed(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(np.diff(first)), pa.array(whole[:, 0]), pa.array(whole[:, 1])], [*batch.schema.names, "_n", "_h1", "_h2"])
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(U64)) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(U64)) & U64((1 << bits) - 1)).astype(np.int64)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """64-bit words of the id filter, of which each id sets a bit."""
     for batch in batches:
-        slot = _slots(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        slot = _slots(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)
         yield pa.RecordBatch.from_arrays([slot >> 6, (U64(1) << (slot & 63).astype(U64)).view(np.int64)], ["word", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the documents whose ids pass the filter."""
     bits = np.frombuffer(marks.value, U64)
+    wide = len(bits).bit_length() + 5
     for batch in batches:
         ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        slot = _slots(ids)
+        slot = _slots(ids, wide)
         batch = batch.filter(pa.array((bits[slot >> 6] >> (slot & 63).astype(U64) & U64(1)).astype(bool)))
         for _, _, data, off in blocks(column(batch, "text")):
             values, first = shingle_sets(data, off)
@@ -151,16 +156,17 @@ def _sets(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index keys of signatures: chunk and left-out value in the upper 16 bits, the other values below."""
+    """Index keys of signatures: chunk and left-out value above 40 bits, the other values (at most five) below."""
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, VALUES).astype(np.int64)
         out = np.empty((len(sig), VALUES), np.int64)
         at = 0
         for c, own in enumerate(_CHUNKS):
             for gap in range(len(own)):
-                key = np.full(len(sig), c * 8 + gap, np.int64)
+                key = np.zeros(len(sig), np.int64)
                 for v in np.delete(own, gap):
                     key = (key << BITS) | sig[:, v]
+                key |= (c * 8 + gap) << 40
                 out[:, at] = key
                 at += 1
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * VALUES, pa.int32()), pa.array(out.ravel()))
@@ -261,12 +267,43 @@ def connected(edges: DataFrame, written=written) -> DataFrame:
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = written(small, "edges")
         state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state(new) == state(edges):
+        old, done, edges = edges, state(new) == state(edges), new
+        dropped(old)
+        if done:
             break
-        edges = new
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _fetched(ends: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, shingles) of the nodes ``ends`` (rep)."""
+    ends = written(ends, "ends")
+    bits = min(FILTER_BITS, max(16, (ends.count() * FILTER_LOAD).bit_length()))
+    words = sigs.join(ends, "rep", "left_semi").select("class_id").mapInArrow(lambda it: _marks(it, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filled = np.zeros(1 << (bits - 6), np.int64)  # at most 2 ** (FILTER_BITS - 6) words
+    filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    marks = texts.sparkSession.sparkContext.broadcast(filled.tobytes())
+    sets = texts.mapInArrow(lambda it: _sets(it, marks), "rep long, shingles array<long>")  # the filter has no false negatives
+    sets = sets.join(ends, "rep", "left_semi").groupBy("rep").agg(F.first("shingles").alias("shingles"))  # of rows with equal texts one
+    return written(sets, "sets")
+
+
+def sharing_rare(sets: DataFrame) -> DataFrame:
+    """(a, b) with a < b of different roots, for (rep, root, shingles): pairs that share one of their rarest shingles.
+
+    All pairs of the needed similarity are among them: a prefix filter, by how many of the sets have a shingle.
+    """
+    tokens = sets.select("rep", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    many = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    own = tokens.join(many, "s").groupBy("rep", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("t"))  # a set's own shingles
+    # a set's shingles that no other has are its rarest
+    prefix = F.expr(f"n - cast(ceil(n * {THRESHOLD} / 100) as int) + 1 - (n - size(t))")
+    rare = own.select("rep", "root", "n", F.explode(F.slice("t", F.lit(1), F.greatest(prefix, F.lit(0)))).alias("x")).select("rep", "root", "n", "x.s")
+    rare = written(rare, "rare")
+    left, right = (rare.select("s", F.col("rep").alias(a), F.col("root").alias(f"r{a}"), F.col("n").alias(f"n{a}")) for a in "ab")
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * THRESHOLD
+    return left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+
+
 def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) whose full sets are similar enough, and the sets. Distances are tested first, on signatures."""
     x = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx"))
@@ -274,15 +311,7 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[Dat
     near = pairs.join(x, "a").join(y, "b").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * THRESHOLD).select("a", "b", "x", "y")
     near = written(near.mapInArrow(_near, "a long, b long"), "near")
     ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-    ends = written(ends, "ends")
-    words = sigs.join(ends, "rep", "left_semi").select("class_id").mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.toLocalIterator():  # at most 2 ** (FILTER_BITS - 6) rows
-        filled[r.word] = r.bits
-    marks = texts.sparkSession.sparkContext.broadcast(filled.tobytes())
-    sets = texts.mapInArrow(lambda it: _sets(it, marks), "rep long, shingles array<long>")  # the filter has no false negatives
-    sets = sets.join(ends, "rep", "left_semi").groupBy("rep").agg(F.first("shingles").alias("shingles"))  # of rows with equal texts one
-    sets = written(sets, "sets")
+    sets = _fetched(ends, sigs, texts)
     found = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
     both = F.size(F.array_intersect("s", "t"))
     return found.select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("sum")).where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * THRESHOLD).select("a", "b"), sets
@@ -292,22 +321,23 @@ def _found(docs: DataFrame, text: str, key: str) -> DataFrame:
     """The columns of ``near_duplicates`` with n, h1 and h2 of every row's set."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(docs.mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, rep long, sig binary"), "signed")
-    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2", "rep").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig")), "classes")
+    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2", "rep").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.count("*").alias("n_rows")), "classes")
     sigs = classes.select("rep", "class_id", "sig", "n")
     keyed = sigs.select("rep", "sig", "n").mapInArrow(_keys, "rep long, sig binary, n long, keys array<long>").select("rep", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("top > hub").drop("top")
-    members = written(keyed.join(hubs, "key"), "members")
+    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("times"))
+    hubs = written(hubs.where("top > hub").drop("top"), "hubs")
+    # keys of one set alone aren't in hubs; they have one row each
+    members = written(joined(keyed, hubs, ["key"], "times").where("hub is not null"), "members")
     texts = docs.withColumnRenamed("doc_id", "rep")
     tested = members.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links, sets = _confirmed(tested, sigs, texts)
     links = written(links, "links")
     roots = connected(links)
-    # keys under which several components meet
-    of = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    of = written(of.join(mixed, "key", "left_semi"), "mixed")
-    left, right = (of.select("key", F.col("rep").alias(a), F.col("root").alias(r)) for a, r in (("a", "ra"), ("b", "rb")))
-    others = left.join(right, "key").where("ra <> rb and a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    # sets under keys where several components meet
+    of = written(members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "roots")
+    meet = of.groupBy("key").agg((F.min("root") < F.max("root")).alias("meet"), F.count("*").alias("times"))
+    left = written(joined(of, written(meet, "meet"), ["key"], "times").where("meet").select("rep", "root").distinct(), "left")
+    others = sharing_rare(_fetched(left.select("rep"), sigs, texts).join(left, "rep")).join(tested, ["a", "b"], "left_anti")
     more, further = _confirmed(others, sigs, texts)
     more = written(more, "links")
     if not more.isEmpty():
@@ -317,9 +347,11 @@ def _found(docs: DataFrame, text: str, key: str) -> DataFrame:
     linked = roots.withColumnRenamed("node", "rep").join(classes.select("rep", "class_id"), "rep")
     names = linked.groupBy("root").agg(F.min(F.struct("class_id", "rep")).alias("first"))
     linked = linked.select("rep", "root").join(names, "root").join(degree, "rep").select("rep", "first", "n_links")
-    classes = classes.join(linked, "rep", "left").select("n", "h1", "h2", "class_id", F.coalesce("first.class_id", "class_id").alias("component_id"), F.coalesce(F.col("first.rep") == F.col("rep"), F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.drop("sig", "rep").join(classes, ["n", "h1", "h2"], "left")
-    alone = F.expr("n = 0 or component_id is null or doc_id is null")
+    classes = classes.join(linked, "rep", "left").select("n", "h1", "h2", "n_rows", "class_id", F.coalesce("first.class_id", "class_id").alias("component_id"), F.coalesce(F.col("first.rep") == F.col("rep"), F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    signed = signed.drop("sig", "rep")
+    linked = F.expr("n > 0 and doc_id is not null")
+    out = joined(signed.where(linked), written(classes, "found"), ["n", "h1", "h2"], "n_rows").unionByName(signed.where(~linked), allowMissingColumns=True)
+    alone = F.expr("component_id is null")
     kept = alone | ((F.col("doc_id") == F.col("component_id")) & F.col("first"))
     own = lambda c, value: F.when(alone, value).otherwise(F.col(c)).alias(c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id", F.col("doc_id")), kept.alias("kept"), own("class_id", F.col("doc_id")), own("n_links", F.lit(0)), "n", "h1", "h2")
@@ -339,19 +371,20 @@ def one_per_component(docs: DataFrame, text: str = "text", key: str = "doc_id")
     Rows are judged by their sets. Of rows that share a kept doc_id and its set, the first by content stays.
     """
     found = written(_found(docs, text, key).where("doc_id is not null"), "found")
-    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept")).where("_rows > 1 or not _kept")
+    ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).where("rows > 1 or not kept")
     ids = written(ids, "ids")
-    here = F.col(key).cast("long") == F.col("_id")
-    alone = docs.join(ids.select("_id"), here, "left_anti")
-    many = ids.where("_rows > 1").select("_id")
-    sets = found.where("kept").join(many, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_doc"), F.col("n").alias("_m"), F.col("h1").alias("_g1"), F.col("h2").alias("_g2")).distinct()
-    rows = docs.join(many, here)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    alone = rows.join(ids.select("id"), "id", "left_anti").select("row")
+    many = ids.where("rows > 1").select("id")
+    sets = found.where("kept").join(many, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    rows = rows.join(many, "id").select("row", "id", "text")
     schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in ("_n", "_h1", "_h2"))])
-    rows = rows.mapInArrow(lambda it: _hashed(it, text), schema)
-    rows = rows.join(sets, F.expr("_id = _doc and _n = _m and _h1 = _g1 and _h2 = _g2"), "left_semi")
-    first = Window.partitionBy("_id", "_n", "_h1", "_h2").orderBy(F.xxhash64(text))
-    rows = rows.withColumn("_row", F.row_number().over(first)).where("_row = 1 or _n = 0")
-    return alone.unionByName(rows.select(*docs.columns))
+    rows = rows.mapInArrow(lambda it: _hashed(it, "text"), schema).join(sets, ["id", "_n", "_h1", "_h2"], "left_semi")
+    # of a kept set's rows the first by content; rows without words all stay
+    marked = rows.select("row", "id", "_n", "_h1", "_h2", F.xxhash64("text", F.to_json("row")).alias("at"))
+    first = marked.where("_n > 0").groupBy("id", "_n", "_h1", "_h2").agg(F.min_by("row", "at").alias("row")).select("row")
+    return alone.unionByName(first).unionByName(marked.where("_n = 0").select("row")).select("row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

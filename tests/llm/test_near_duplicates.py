@@ -47,3 +47,52 @@ def test_texts_under_one_doc_id_are_judged_apart(spark):
     assert got == sorted([(5, b), (3, near), (7, "x y z"), (7, "p q r"), (8, ""), (8, None), (None, a)], key=repr)
     links = {(r.doc_id, r.component_id, r.n_links) for r in nd.near_duplicates(docs).collect()}
     assert links == {(5, 3, 1), (5, 5, 0), (3, 3, 1), (7, 7, 0), (8, 8, 0), (None, None, 0)}
+
+
+def family(n: int, same: int, own: int, seed: int) -> list[str]:
+    """Pages of one template: the same words, and some of their own, too many for a link."""
+    rng = random.Random(seed)
+    head = [f"t{rng.randrange(10**6)}" for _ in range(same)]
+    return [" ".join(head[: same // 2] + [f"p{k}q{j}" for j in range(own)] + head[same // 2 :]) for k in range(n)]
+
+
+def test_pages_of_a_template_arent_compared_pair_by_pair(spark):
+    texts = family(120, 240, 60, 8)
+    for k in range(0, 120, 10):  # and a near copy of some
+        texts.append(texts[k].replace(f"p{k}q7 ", "changed "))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(docs).collect()}
+    assert got == brute.components(rows)
+    sets = spark.createDataFrame([(k, k, [hash(x) for x in brute.shingles(t)]) for k, t in enumerate(texts)], "rep long, root long, shingles array<long>")
+    pairs = {tuple(r) for r in nd.sharing_rare(sets).collect()}
+    assert pairs == {(k, 120 + k // 10) for k in range(0, 120, 10)}
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of all similarities around 0.85: every true link is found."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(250)]
+        texts.append(" ".join(words))
+        for j in range(rng.randrange(4, 16)):
+            words[rng.randrange(250)] = f"n{k}m{j}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.components(rows)
+    assert 20 < sum(c != d for d, (_, c) in want.items()) < 140
+    assert got == want
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    a, near = copies(2, 150, 2, 5)
+    rows = [(1, a, "x", 1, "y"), (2, near, "x", 2, "y"), (3, None, None, None, None), (4, a, "x", 3, "y"), (1, a, "z", 9, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, n int, `a.b` string")
+    kept = nd.one_per_component(docs)
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    assert [r[0] for r in got] == [1, 3]
+    empty = docs.where("false")
+    assert nd.near_duplicates(empty).count() == 0 and nd.one_per_component(empty).count() == 0
