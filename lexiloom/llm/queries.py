@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import context_tree, decontaminate, mixing, near_duplicates, pii, preferences, quality_classifier, quality_rules, sharding, url_filters
+from .sql import ORACLE_SQL as ORACLE_SQL
 
 QUERIES = {
     "op1_pii_disclosure": pii.op1,
@@ -16,5 +17,3 @@ QUERIES = {
     "op9_preference_formatting": preferences.op9,
     "op10_source_mixing": mixing.op10,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -3,8 +3,9 @@
 A key's shard follows from its 64-bit hash and the number of shards alone: no ring table, and appending a shard moves
 only about 1/(n+1) of the keys, all into the new one. Law ``key``: documents with one doc_id share a shard.
 
-The slot is a gapless number in the shard. It needs no sort of a whole shard: rows fall into hash buckets, buckets are
-numbered by prefix sums of their counts, and only a bucket is sorted.
+The slot is a gapless number in the shard. It needs no sort of a whole shard: keys fall into hash buckets, buckets are
+numbered by prefix sums of their counts, and only a bucket's distinct rows are sorted, with their counts. Equal rows are
+numbered in ``SPREAD`` parts, by the place at which they were read.
 
 Null texts have no bytes; a null doc_id is a key of its own. Rows with equal keys stay together, each with its own slot;
 among equal rows slots are in any order. A very long text is a row like others. Extra columns are ignored, or stay where
@@ -23,6 +24,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .shared import table, written
 
+SHARDS = 24
 #: Rows that a slot bucket should hold.
 BUCKET_ROWS = 200_000
 #: Parts into which equal rows are spread.
@@ -42,6 +44,11 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
+def hashed(key: Column) -> Column:
+    """60 bits of the MD5 of a key as text; a null key is the empty text."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _assign(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = np.asarray(batch.column(batch.schema.get_field_index("_key")).to_numpy(zero_copy_only=False)).view(np.uint64)
@@ -55,28 +62,33 @@ def _placed(docs: DataFrame, shards: int, text: str, key: str, *more: Column) ->
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), *more,
-        F.xxhash64(F.col(key).cast("string")).alias("_key"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("_spread"),
+        hashed(F.col(key)).alias("_key"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int").alias("_spread"),
     )
     schema = StructType([*(f for f in rows.schema.fields if f.name != "_key"), StructField("shard", IntegerType()), StructField("grown_shard", IntegerType())])
     rows = written(rows.mapInArrow(lambda it: _assign(it, shards), schema), "sharded")
     buckets = 1 + rows.count() // (shards * BUCKET_ROWS)
-    # equal rows are spread too: by the place at which they were read, which is written by now
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "_spread"), F.lit(buckets)))
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).alias("_bucket")
+    own = ["shard", "doc_id", "text_crc32", "size", "_spread"]
+    counts = written(rows.groupBy(*own, bucket).agg(F.count("*").alias("_n")), "counts")
     # at most shards * buckets rows: one for every BUCKET_ROWS documents or so
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    counts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
-    rows = rows.withColumn("_at", F.row_number().over(within)).join(counts, ["shard", "_bucket"])
-    return rows.withColumn("slot", (F.col("_before") + F.col("_at") - 1).cast("long"))
-
-
-def sharded(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+    sums = counts.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_sum")).select("shard", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("shard", "_bucket").orderBy(*own[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sums, ["shard", "_bucket"])
+    starts = starts.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(own)], (F.col("_before") + F.col("_inside")).alias("_start"))
+    same = F.lit(True)
+    for k, c in enumerate(own):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))
+    at = F.row_number().over(Window.partitionBy(*own).orderBy("shard"))
+    return rows.withColumn("_at", at).join(starts, same).withColumn("slot", (F.col("_start") + F.col("_at") - 1).cast("long"))
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     return _placed(docs, shards, text, key).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def sharded_documents(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+def sharded_documents(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, own columns and (shard, slot), in place of columns of these names; slots are those of ``sharded``."""
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     return _placed(docs, shards, text, key, F.struct(*own).alias("_row")).select("_row.*", "shard", "slot")

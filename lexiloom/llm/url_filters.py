@@ -1,7 +1,7 @@
 """URL filters: fixed host rules, then a path-template tree a host (operator 7).
 
-A path's segments are generalised by their form first: runs of digits become ``<n>``, long hexadecimal or random-looking
-segments ``<id>``. Pages are counted by such paths, and all that follows works on the counts. The prefixes of a host's
+A path's segments are generalised by their form first: runs of digits become ``<n>``, long hexadecimal
+beginnings of segments ``<id>``. Pages are counted by such paths, and all that follows works on the counts. The prefixes of a host's
 paths are the nodes of its tree. A branch is merged into its parent's wildcard ``*`` if it is rare (a variable segment:
 under ``LEAST_PAGES`` pages) or if its labelled share of good pages doesn't differ from its parent's by more than
 ``Z`` standard errors; so branches under one parent that are statistically alike share a template. Every template has a
@@ -49,7 +49,7 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RU
 
 def generalised(path: Column) -> Column:
     """The path with variable parts by form: long hexadecimal segments, runs of digits."""
-    ids = F.regexp_replace(path, r"(?<=/)[0-9a-fA-F-]{16,}(?=[/.]|$)", "<id>")
+    ids = F.regexp_replace(path, r"/[0-9a-fA-F-]{16,}", "/<id>")
     return F.regexp_replace(ids, r"[0-9]+", "<n>")
 
 
@@ -117,4 +117,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's number in its path is the doc_id of its document, by which ``labels`` marks it."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_key"), "quality")
     pages = table(spark, sf_dir, "pages").withColumn("url_path", path(F.col("url")))
-    return judged(pages, labels, label_key=F.expr("try_cast(nullif(regexp_extract(url_path, '([0-9]+)[^0-9/]*/?$', 1), '') as bigint)"))
+    return judged(pages, labels, label_key=F.expr("try_cast(nullif(regexp_extract(url_path, '([0-9]+)[^0-9/]*/?\\\\z', 1), '') as bigint)"))
