@@ -5,8 +5,10 @@ order of their keys. The prefix sum of sizes is distributed: keys fall into equa
 added up in a small table, and only a range is sorted in a task; so a source that holds a third of all rows is spread.
 A source's budget takes whole epochs and then the rows up to the exact remainder, the last one in part.
 
-Null texts and texts without words have size 0 and are taken 0 times. A null source is a source, the last one. Equal rows
-have equal keys and stand in any order: ties take the same words in sum. Extra columns are ignored; no rows give no rows.
+Null texts and texts without words have size 0 and give no words; their rows come with every whole epoch. A null source is
+a source, the last one. Equal rows have equal keys and stand in any order: ties take the same words in sum. A very long
+text is a row like others. Extra columns are ignored, or stay where rows are returned; no rows give no rows. Sources are
+counted in one small table, a row each, which one task sorts.
 """
 
 from __future__ import annotations
