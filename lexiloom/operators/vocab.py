@@ -103,6 +103,22 @@ class Vocab(Node):
             return self.encode_ids(df, column, into)
         return self.decode_ids(df, column, into)
 
+    def lookups(self, df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+        """Several columns, each into another; the direction of each by its type."""
+        for column, into in columns.items():
+            df = self.lookup(df, column, into)
+        return df
+
+    def looking(self, column: str, into: str) -> Callable[[DataFrame], DataFrame]:
+        """The lookup as a function, for ``DataFrame.transform``."""
+        return lambda df: self.lookup(df, column, into)
+
+    def decode_onehot(self, df: DataFrame, column: str, into: str = "word") -> DataFrame:
+        """Words of compact one-hot codes, whatever their width; of dense ones (arrays) by the place of their first 1."""
+        dense = isinstance(df.schema[column].dataType, T.ArrayType)
+        idx = F.array_position(column, F.lit(1)).cast("int") if dense else F.col(column)["idx"]
+        return self.decode_ids(df.withColumn("_hot", idx), "_hot", into).drop("_hot")
+
     def _arrays(self, df: DataFrame, column: str, key: str, into: str, one: Callable[..., DataFrame]) -> DataFrame:
         """A lookup of all elements of arrays, by the row's ``key``."""
         rows = df.select(F.col(key).alias("_key"), F.posexplode(F.col(column)).alias("_at", "_x"))

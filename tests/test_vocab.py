@@ -61,6 +61,16 @@ def test_containers_and_onehot(spark):
     assert tuple(r.a) == (3, 1) and r.c.ids == [1, 2, 0] and r.d == [1, 0, 0] and r.e == [0, 0, 0]
 
 
+def test_several_lookups_and_onehot_words(spark):
+    v = Vocab.of(spark, "abc")
+    df = spark.createDataFrame([("a", 2)], "w string, n int")
+    assert v.lookups(df, {"w": "i", "n": "x"}).first().asDict() == {"w": "a", "n": 2, "i": 1, "x": "b"}
+    assert df.transform(v.looking("n", "x")).first().x == "b"
+    hot = df.select(F.struct(F.lit(99).alias("width"), F.lit(3).alias("idx")).alias("h"), F.array(F.lit(0), F.lit(1), F.lit(0)).alias("d"), F.array(F.lit(0)).alias("z"))
+    got = v.decode_onehot(v.decode_onehot(v.decode_onehot(hot, "h", "a"), "d", "b"), "z", "c").first()
+    assert (got.a, got.b, got.c) == ("c", "b", "[UNK]")
+
+
 def test_overwrites(spark):
     v = Vocab.of(spark, "abc")
     w = v.overwrite({"b": "x"})
