@@ -58,6 +58,14 @@ class Vocab(Node):
         schema = T.StructType([T.StructField("idx", T.IntegerType(), False), T.StructField("word", kind, False)])
         return cls(spark.createDataFrame(list(enumerate(own, 1)), schema), unk)
 
+    @classmethod
+    def top(cls, words: DataFrame, word: str, k: int, unk: Any = "[UNK]") -> Vocab:
+        """The ``k`` most frequent words, ties by word; up to ``BROADCAST_WORDS`` of them are kept on the driver, counted once."""
+        frame = most_frequent(words, word, k)
+        if k > BROADCAST_WORDS:
+            return cls(frame, unk)
+        return cls.of(words.sparkSession, [r.word for r in frame.orderBy("idx").collect()], unk)
+
     @cached_property
     def size(self) -> int:
         return self.frame.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0]
@@ -121,7 +129,8 @@ class Vocab(Node):
 
     def _arrays(self, df: DataFrame, column: str, key: str, into: str, one: Callable[..., DataFrame]) -> DataFrame:
         """A lookup of all elements of arrays, by the row's ``key``."""
-        rows = df.select(F.col(key).alias("_key"), F.posexplode(F.col(column)).alias("_at", "_x"))
+        # the outer form, as a plain one would make Spark compute the arrays once more, for a filter
+        rows = df.select(F.col(key).alias("_key"), F.posexplode_outer(F.col(column)).alias("_at", "_x")).where("_at is not null")
         done = one(rows, "_x", "_y").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_y"))).alias("_all"))
         back = df.join(done, F.col(key) == F.col("_key"), "left")
         kind = done.schema["_all"].dataType.elementType["_y"].dataType.simpleString()

@@ -59,7 +59,7 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _top(words: DataFrame) -> Vocab:
-    return Vocab(vocabulary.most_frequent(words, "word", TOP_WORDS))
+    return Vocab.top(words, "word", TOP_WORDS)
 
 
 # ---- splitting and matching ----
