@@ -38,7 +38,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix), ("sharding", shard)]
 
-#: SQL has no MinHash join and no transitive closure over it at this size; tests compare near-duplicates with brute force, and the last stage with its input.
+#: SQL can follow single stages (see lexiloom/llm/sql.py), not texts cut at spans and mixed words; tests compare run() with a plain Python version.
 ORACLE_SQL = None
 
 
