@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import dropped, joined, table, written
+from .shared import dropped, joined, settled, table, written
 from .textblock import SPACE, U64, blocks, column, mix, word_hashes, words
 
 VALUES, BITS, CHUNKS = 64, 8, 12
@@ -370,7 +370,7 @@ def one_per_component(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     Rows are judged by their sets. Of rows that share a kept doc_id and its set, the first by content stays.
     """
-    found = written(_found(docs, text, key).where("doc_id is not null"), "found")
+    found = settled(docs.sparkSession, lambda: _found(docs, text, key).where("doc_id is not null"), "found")
     ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).where("rows > 1 or not kept")
     ids = written(ids, "ids")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

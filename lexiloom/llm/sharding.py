@@ -5,7 +5,7 @@ only about 1/(n+1) of the keys, all into the new one. Law ``key``: documents wit
 
 The slot is a gapless number in the shard. It needs no sort of a whole shard: keys fall into hash buckets, buckets are
 numbered by prefix sums of their counts, and only a bucket's distinct rows are sorted, with their counts. Equal rows are
-numbered in ``SPREAD`` parts, by the place at which they were read.
+numbered in up to ``SPREAD`` parts, by the files that they are in.
 
 Null texts have no bytes; a null doc_id is a key of its own. Rows with equal keys stay together, each with its own slot;
 among equal rows slots are in any order. A very long text is a row like others. Extra columns are ignored, or stay where
@@ -62,25 +62,24 @@ def _placed(docs: DataFrame, shards: int, text: str, key: str, *more: Column) ->
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), *more,
-        hashed(F.col(key)).alias("_key"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int").alias("_spread"),
+        hashed(F.col(key)).alias("_key"), F.pmod(F.xxhash64(F.input_file_name()), F.lit(SPREAD)).cast("int").alias("_spread"),
     )
     schema = StructType([*(f for f in rows.schema.fields if f.name != "_key"), StructField("shard", IntegerType()), StructField("grown_shard", IntegerType())])
-    rows = written(rows.mapInArrow(lambda it: _assign(it, shards), schema), "sharded")
-    buckets = 1 + rows.count() // (shards * BUCKET_ROWS)
+    rows = rows.mapInArrow(lambda it: _assign(it, shards), schema)
+    own = ["doc_id", "text_crc32", "size", "_spread"]
+    rows = rows.withColumn("_own", F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in own]))
+    buckets = 1 + docs.select(key).count() // (shards * BUCKET_ROWS)
     bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).alias("_bucket")
-    own = ["shard", "doc_id", "text_crc32", "size", "_spread"]
-    counts = written(rows.groupBy(*own, bucket).agg(F.count("*").alias("_n")), "counts")
+    counts = written(rows.groupBy("shard", *own, "_own", bucket).agg(F.count("*").alias("_n")), "counts")
     # at most shards * buckets rows: one for every BUCKET_ROWS documents or so
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_sum")).select("shard", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy(*own[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard", "_bucket").orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sums, ["shard", "_bucket"])
-    starts = starts.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(own)], (F.col("_before") + F.col("_inside")).alias("_start"))
-    same = F.lit(True)
-    for k, c in enumerate(own):
-        same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))
-    at = F.row_number().over(Window.partitionBy(*own).orderBy("shard"))
-    return rows.withColumn("_at", at).join(starts, same).withColumn("slot", (F.col("_start") + F.col("_at") - 1).cast("long"))
+    starts = starts.select("_own", (F.col("_before") + F.col("_inside")).alias("_start"))
+    # the rows' only shuffle, for both the numbers within equal rows and the join
+    at = F.row_number().over(Window.partitionBy("_own").orderBy("_spread"))
+    return rows.withColumn("_at", at).join(starts, "_own").withColumn("slot", (F.col("_start") + F.col("_at") - 1).cast("long"))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -22,22 +22,55 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lexiloom-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: it survives lost executors and cuts the lineage."""
+    """``df`` written as Parquet to the shared folder and read again: it survives lost executors and cuts the lineage.
+
+    Results read these files, so they stay until ``cleared``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
+_SCRATCH: list[list[str]] = []
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that were written on the way are deleted."""
+    _SCRATCH.append([])
+    try:
+        out = make()
+    finally:
+        used = _SCRATCH.pop()
+    kept = written(out, name)
+    for path in used:
+        _deleted(spark, path)
+    return kept
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table from ``written`` that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_written_to", None)
-    if path:
-        to = spark._jvm.org.apache.hadoop.fs.Path(path)
-        to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+    if path := getattr(df, "_written_to", None):
+        _deleted(df.sparkSession, path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; to be called when its results are written."""
+    _deleted(spark, _own_dir(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
