@@ -35,6 +35,8 @@ from .shared import let, table, written
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 RISK, ERROR = 0.02, 0.05
+#: So many labelled ids (some 16 MB) are broadcast to pick the rows to measure for the cutoffs.
+BROADCAST_IDS = 1_000_000
 #: Rule -> ratio and its cutoffs, loose to strict; a value above its cutoff rejects.
 RULES: dict[str, tuple[Callable[[Callable[[str], Column]], Column], tuple[float, ...]]] = {
     "symbols": (lambda f: f("n_symbols") / F.greatest(f("n_words"), F.lit(1)), (5.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2)),
@@ -165,7 +167,8 @@ def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns. Only labelled rows are measured for the cutoffs, and texts aren't shuffled."""
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(f"`{stratum}`").alias("lang"))
-    ids = labels.where("quality is not null and doc_id is not null").select("doc_id").distinct()
+    ids = written(labels.where("quality is not null and doc_id is not null").select("doc_id").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # beyond that the texts are shuffled once
     cuts = written(cutoffs(written(measured(own.join(ids, "doc_id", "left_semi")), "labelled"), labels), "cutoffs")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(whole.alias("_row"), _stratum(stratum).alias("stratum")).join(cuts, "stratum", "left")
