@@ -2,13 +2,47 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding, url_filters
+from . import mixing, pii, quality_rules, sharding, url_filters
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _personal() -> str:
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(0, length({digits})), lambda i: case when i % 2 = 0 then substr({digits}, length({digits}) - i, 1)::int when substr({digits}, length({digits}) - i, 1)::int > 4 then substr({digits}, length({digits}) - i, 1)::int * 2 - 9 else substr({digits}, length({digits}) - i, 1)::int * 2 end)) % 10 = 0"
+    kinds = [
+        ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "true", "lower(v)"),
+        ("ip", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda p: coalesce(try_cast(concat('0', ltrim(p, '0')) as int), 999) <= 255)) = 4", "v"),
+        ("card", "[0-9]([\\x20-]?[0-9])+", f"length({digits}) between 13 and 19 and {luhn}", digits),
+        ("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", f"length({digits}) between 9 and 15", digits),
+    ]
+    hits = " union all ".join(
+        f"""select * exclude (hs, gs, i), {k} as o, '{name}' as kind, {normal} as value, {test} as fine from (select rid, unnest(range(1, len(hs) + 1)) as i, hs, gs, hs[i] as v, gs[i] as before, gs[i + 1] as after,
+  coalesce(list_sum(list_transform(hs[1:i - 1], lambda h: length(h))), 0)::bigint + list_sum(list_transform(gs[1:i], lambda g: length(g)))::bigint as b from (select rid, regexp_extract_all(text, '{pattern}') as hs, string_split_regex(text, '{pattern}') as gs from d))"""
+        for k, (name, pattern, test, normal) in enumerate(kinds)
+    )
+    word = "[\\p{L}\\p{M}]{3,}"
+    near = lambda piece, shift, side: f"""select rid, entity, around, term, {shift} + coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0)::bigint + coalesce(list_sum(list_transform(ws[1:i - 1], lambda w: length(w))), 0)::bigint as s, length(ws[i])::bigint as n
+  from (select rid, entity, around, ws, gs, b, e, bb, aa, unnest({side}) as i, lower(ws[i]) as term from (select *, regexp_extract_all({piece}, '{word}') as ws, string_split_regex({piece}, '{word}') as gs from f))"""
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+h as ({hits}),
+f as (select rid, o, kind, b, b + length(v) as e, concat(kind, ':', value) as entity, concat(right(before, 64), chr(0), left(after, 64)) as around, right(before, 512) as bb, left(after, 512) as aa from h where fine),
+c as ({near("bb", "b - length(bb)", f"range(greatest(len(ws) - {pii.NEAR}, 0) + 1, len(ws) + 1)")} union all {near("aa", "e", f"range(1, least(len(ws), {pii.NEAR}) + 1)")}),
+pairs as (select entity, term, count(*) as n_pair, count(distinct around) as n_contexts from c group by all),
+nears as (select entity, count(*) as n_near from c group by all),
+words as (select term, count(*) as n_term from (select unnest(regexp_extract_all(lower(text), '{word}')) as term from d) group by all),
+total as (select sum(n_term) as total from words),
+shares as (select entity, term, 1 + ln(least(1.0, n_pair / n_term)) / -ln(n_near / greatest(total, n_near + 1)) as disclosure, n_contexts from pairs join words using (term) join nears using (entity), total),
+told as (select rid, s, s + n as e, max(disclosure) as disclosure from c join shares using (entity, term) where n_contexts >= {pii.LEAST_CONTEXTS} and disclosure >= {pii.GENERALISED} group by all),
+spans as (select rid, o, kind, b as s, concat(kind, ':', b, ':', e) as name, false as removed from f union all select rid, 9, 'term', s, concat('term:', s, ':', e), disclosure >= {pii.REMOVED} from told),
+g as (select rid, {", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k, *_ in kinds)}, count(*) filter (where kind = 'term') as n_term, count(*) filter (where removed) as n_removed,
+  string_agg(name, ',' order by o, s) filter (where o < 9) as base, string_agg(name, ',' order by o, s) as spans from spans group by rid)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k, *_ in kinds)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_term, 0)::bigint as n_term, coalesce(n_removed, 0)::bigint as n_removed from d left join g using (rid)"""
+
+
 def _quality() -> str:
     rules = list(quality_rules.RULES)
     value = {
@@ -147,6 +181,7 @@ select doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 
 ORACLE_SQL = {
+    "op1_pii_disclosure": _personal(),
     "op2_quality_rules": _quality(),
     "op3_minhash_near_dedup": _near(),
     "op4_benchmark_decontamination": _leaks(),

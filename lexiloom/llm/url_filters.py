@@ -86,9 +86,13 @@ def template_tree(counts: DataFrame) -> DataFrame:
     sums = lambda *by: placed.groupBy(*by).agg(F.sum("labelled").alias("l"), F.sum("good").alias("g"))
     every = placed.agg(F.sum("labelled").alias("all_l"), F.sum("good").alias("all_g"))
     overall = F.when(F.col("all_l") > 0, F.col("all_g") / F.col("all_l")).otherwise(F.lit(1.0))
-    hosts = sums("host").join(F.broadcast(every)).select("host", ((F.col("g") + SMOOTH * overall) / (F.col("l") + SMOOTH)).alias("host_purity"))
-    pure = sums("host", "template").join(hosts, "host").select("host", "template", ((F.col("g") + SMOOTH * F.col("host_purity")) / (F.col("l") + SMOOTH)).alias("purity"))
-    return placed.select("host", "shape", "template", F.col("n").alias("n_shape")).join(pure, ["host", "template"])
+    templates = written(sums("host", "template"), "sums")
+    uses = templates.groupBy("host").agg(F.count("*").alias("uses"))
+    hosts = sums("host").join(uses, "host").join(F.broadcast(every)).select("host", "uses", ((F.col("g") + SMOOTH * overall) / (F.col("l") + SMOOTH)).alias("host_purity"))
+    purity = (F.col("g") + SMOOTH * F.col("host_purity")) / (F.col("l") + SMOOTH)
+    shapes = placed.groupBy("host", "template").agg(F.count("*").alias("uses"))
+    pure = joined(templates, written(hosts, "hosts"), ["host"], "uses").select("host", "template", purity.alias("purity")).join(shapes, ["host", "template"])
+    return joined(placed.select("host", "shape", "template", F.col("n").alias("n_shape")), written(pure, "pure"), ["host", "template"], "uses")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", key: str = "page_id", label_key: Column | None = None) -> DataFrame:
@@ -100,7 +104,10 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     base = pages.select(F.col(key).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), own.cast("long").alias("label_key"))
     base = base.withColumn("shape", generalised(F.col("path")))
     known = labels.where("label_key is not null and quality is not null").groupBy(F.col("label_key").cast("long").alias("label_key")).agg(F.min("quality").alias("quality"))
-    counts = base.groupBy("host", "shape", "label_key").agg(F.count("*").alias("n")).join(known, "label_key", "left")
+    counts = written(base.groupBy("host", "shape", "label_key").agg(F.count("*").alias("n")), "counts")
+    keys = counts.where("label_key is not null").groupBy("label_key").agg(F.count("*").alias("uses")).join(known, "label_key", "left")
+    named = joined(counts.where("label_key is not null"), written(keys, "keys"), ["label_key"], "uses")
+    counts = named.unionByName(counts.where("label_key is null").withColumn("quality", F.lit(None).cast(known.schema["quality"].dataType)))
     seen = F.when(F.col("quality").isNotNull(), F.col("n")).otherwise(0)
     good = F.when(F.col("quality") == 1, F.col("n")).otherwise(0)
     counts = written(counts.groupBy("host", "shape").agg(F.sum("n").alias("n"), F.sum(seen).alias("labelled"), F.sum(good).alias("good")), "paths")
