@@ -12,8 +12,9 @@ probability computed, where its context is found, and no score falls back on any
 
 - All strings whose context ends with the same two bytes are one subtree and one group, at most 2 ** 24 of them; in it
   the deeper depths are weighted. The two upper depths have at most 256 * 255 nodes in sum and are weighted on the driver.
-- String probabilities and word counts reach the scoring tasks in blocks of at most ``BLOCK`` rows, one broadcast each,
-  with a pass over the texts for each block; a row's partial sums are added up by doc_id and text hash.
+- String probabilities and word counts reach the scoring tasks in blocks of about ``BLOCK`` rows, one broadcast each,
+  with a pass over the texts for each block, which looks up its own keys only; a row's partial sums are added up by
+  doc_id and text hash. So memory is bounded at any size, and reading is not: passes grow with distinct words.
 
 Base score: add-one unigrams of words and text ends, of the same training texts.
 
@@ -37,8 +38,8 @@ from .textblock import LOWER, SPACE, U64, blocks, column, mix, word_hashes, word
 
 DEPTH = 4
 END = 255  # no byte of UTF-8
-#: Rows of a broadcast block: 16 bytes each, for strings and for words.
-BLOCK = 2_000_000
+#: Rows of a broadcast block, 16 bytes each, for strings and for words; a single block may have twice as many.
+BLOCK = 1_500_000
 #: Distinct keys that a counting task holds before it hands them on.
 _HELD = 3_000_000
 GRAM, WORD = 0, 1
@@ -261,32 +262,44 @@ def _found(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.
     return np.where(there, values[at], 0.0), there
 
 
-def _scored(batches: Iterator[pa.RecordBatch], block, depth: int) -> Iterator[pa.RecordBatch]:
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The block of a key, as ``_PART`` has it."""
+    return (keys ^ (keys >> np.int64(17)) ^ (keys >> np.int64(31))) % parts
+
+
+_PART = "pmod(key ^ shiftright(key, 17) ^ shiftright(key, 31), {parts})"
+
+
+def _sums(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray, rows: int, k: int, parts: int, value) -> tuple[np.ndarray, np.ndarray]:
+    """By owner, the sums of ``value`` over the keys of block ``k``, and how many of them the table has."""
+    own = np.flatnonzero(_part(keys, parts) == k)
+    some, which = np.unique(keys[own], return_inverse=True)
+    values, there = _found(table_, some)
+    return np.bincount(owner[own], value(values)[which], rows).astype(np.float64), np.bincount(owner[own], there[which], rows).astype(np.int64)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], block, depth: int, k: int, parts: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, held_out, x, y, n_bytes, n_tokens, n_known, base, score): what this block's keys add to each row's sums."""
     grams, vocabulary = block.value
     for batch in batches:
         for lo, hi, data, off in blocks(column(batch, "text")):
             key, doc = strings(data, off, depth)
-            some, which = np.unique(key, return_inverse=True)
-            score = np.bincount(doc, _found(grams, some)[0][which], hi - lo)
+            score, _ = _sums(grams, key, doc, hi - lo, k, parts, lambda v: v)
             word, first = tokens(data, off)
-            some, which = np.unique(np.append(word, END_WORD), return_inverse=True)
-            c, there = _found(vocabulary, some)
-            c, there = np.log10(c + 1)[which], there[which].astype(np.int64)
-            own = np.repeat(np.arange(hi - lo), np.diff(first))
-            base = np.bincount(own, c[:-1], hi - lo) + c[-1]
-            known = np.bincount(own, there[:-1], hi - lo).astype(np.int64) + there[-1]
+            own = np.concatenate([np.repeat(np.arange(hi - lo), np.diff(first)), np.arange(hi - lo)])
+            word = np.concatenate([word, np.full(hi - lo, END_WORD)])
+            base, known = _sums(vocabulary, word, own, hi - lo, k, parts, lambda v: np.log10(v + 1))
             # two hashes of the text, for adding up
             ends = np.concatenate([[0], np.cumsum(np.diff(off) + 1)])
             place = (np.arange(len(key)) - ends[doc]).view(U64)
             total = [np.concatenate([[U64(0)], np.cumsum(mix(key.view(U64) * U64(m) + place))]) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
             x, y = ((t[ends[1:]] - t[ends[:-1]]).view(np.int64) for t in total)
-            rest = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
+            rest = [batch.column(c).slice(lo, hi - lo) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(x), pa.array(y), pa.array(np.diff(off)), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "held_out", "x", "y", "n_bytes", "n_tokens", "n_known", "base", "score"])
 
 
 def _block(df: DataFrame, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    got = df.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).toArrow()
+    got = df.where(F.expr(_PART.format(parts=parts)) == k).toArrow()
     keys, values = got.column("key").to_numpy(), got.column("value").to_numpy()
     by = np.argsort(keys)
     return keys[by], values[by]
@@ -300,11 +313,11 @@ def scored(docs: DataFrame, held_out: Column | None = None, text: str = "text",
     out = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", out.alias("held_out"), "text")
     grams, vocabulary, total, distinct = model(rows, depth)
-    parts = 1 + max(grams.count(), vocabulary.count()) // BLOCK
+    parts = 1 + 2 * (max(grams.count(), vocabulary.count()) // (2 * BLOCK))  # odd, so that low bits don't decide alone
     passes = []
     for k in range(parts):
         block = docs.sparkSession.sparkContext.broadcast((_block(grams, k, parts), _block(vocabulary, k, parts)))  # about BLOCK rows each
-        passes.append(written(rows.mapInArrow(lambda it, b=block: _scored(it, b, depth), "doc_id long, held_out boolean, x long, y long, n_bytes long, n_tokens long, n_known long, base double, score double"), "pass"))
+        passes.append(written(rows.mapInArrow(lambda it, b=block, k=k: _scored(it, b, depth, k, parts), "doc_id long, held_out boolean, x long, y long, n_bytes long, n_tokens long, n_known long, base double, score double"), "pass"))
         block.destroy()
     sums = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "held_out", "x", "y", "n_bytes", "n_tokens").agg(F.count("*").alias("r"), *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
     copies = (F.col("r") / parts).cast("long")
