@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Stand for the source column, and for a struct of all columns but it.
+SOURCE, TARGET = 0, 1
+
+
 @dataclass(frozen=True)
 class Pipeline:
-    """``names`` = f of ``fields``; 0 or nothing stands for the source. Several names unpack a struct in its order."""
+    """``names`` = f of ``fields``: column names, ``SOURCE`` or ``TARGET``. Several names unpack a struct in its order."""
 
     names: str | tuple[str, ...]
     f: Callable[..., Column]
@@ -20,7 +24,8 @@ class Pipeline:
 
     def apply(self, df: DataFrame, source: str) -> DataFrame:
         fields = self.fields if isinstance(self.fields, tuple) else (self.fields,)
-        value = self.f(*[F.col(source) if x == 0 else F.col(x) for x in fields])
+        target = lambda: F.struct(*[c for c in df.columns if c != source])
+        value = self.f(*[F.col(source) if x == SOURCE else target() if x == TARGET else F.col(x) for x in fields])
         if isinstance(self.names, str):
             return df.withColumn(self.names, value)
         out = df.withColumn("_value", value)
@@ -33,8 +38,10 @@ class Pipeline:
         return Pipelines((self,)) | other
 
     def __repr__(self) -> str:
-        names = self.names if isinstance(self.names, str) else ", ".join(self.names)
-        return f"Pipeline{{{names}}}({getattr(self.f, '__name__', repr(self.f))})"
+        names = self.names if isinstance(self.names, str) else f"({', '.join(self.names)})"
+        fields = self.fields if isinstance(self.fields, tuple) else (self.fields,)
+        shown = ", ".join({SOURCE: "source", TARGET: "target"}.get(x, f"target.{x}") for x in fields)
+        return f"target[{names}] := {getattr(self.f, '__name__', repr(self.f))}({shown})"
 
 
 @dataclass(frozen=True)
@@ -50,7 +57,7 @@ class PipeGet:
         return df.select(*self.names)
 
     def __repr__(self) -> str:
-        return f"PipeGet{{{', '.join(self.names)}}}"
+        return f"target := ({', '.join(f'target.{n}' for n in self.names)})"
 
 
 @dataclass(frozen=True)
@@ -72,4 +79,4 @@ class Pipelines:
         return reduce(lambda d, step: step.apply(d, source), self.steps, df)
 
     def __repr__(self) -> str:
-        return f"Pipelines({' | '.join(map(repr, self.steps))})"
+        return "\n  ".join(["Pipelines:", *map(repr, self.steps)])

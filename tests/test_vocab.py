@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import math
 import string
 
 import pytest
 from lexiloom.functions import arrays
 from lexiloom.operators import vocab as vocabulary
 from lexiloom.operators.encoder import TextEncoder
-from lexiloom.operators.pipeline import PipeGet, Pipeline
+from lexiloom.operators.pipeline import TARGET, PipeGet, Pipeline
 from lexiloom.operators.vocab import Vocab
 from lexiloom.plans import tokenization as tk
 from lexiloom.streaming import tokens as streaming
@@ -127,11 +128,25 @@ def test_pipelines(spark):
     df = spark.createDataFrame([("ab",)], "text string")
     assert steps(df).first().asDict() == {"text": "ab", "x": "AB", "n": 2, "m": 4, "z": "ab2"}
     assert (steps | PipeGet("z", "x"))(df).columns == ["z", "x"]
-    assert len(steps) == 3 and repr(steps[:1]) == "Pipelines(Pipeline{x}(upper))"
+    assert len(steps) == 3 and repr(steps[:1] | PipeGet("x", "n")) == "Pipelines:\n  target[x] := upper(source)\n  target := (target.x, target.n)"
     with pytest.raises(ValueError):
         (steps[:1] | Pipeline(("a",), lambda t: F.struct(t, t), "x"))(df)
 
 
+def test_pipeline_of_numbers(spark):
+    """sin and cos of twice the source, their quotient from the target as a whole, and a step replaced."""
+    pipes = (
+        Pipeline("t", lambda x: x * 2)
+        | Pipeline(("sin", "cos"), lambda t: F.struct(F.sin(t), F.cos(t)), "t")
+        | Pipeline("tan", lambda target: target["sin"] / target["cos"], TARGET)
+        | PipeGet("tan", "t")
+    )
+    df = spark.createDataFrame([(math.e,)], "x double")
+    assert list(pipes(df, "x").first()) == pytest.approx([-1.1306063769531505, 5.43656365691809])
+    other = pipes[0] | Pipeline("tan", F.tan, "t") | pipes[-1]
+    assert list(other(df, "x").first()) == pytest.approx([-1.1306063769531507, 5.43656365691809])
+
+
 def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(1, "a b"), (2, "b z")], "doc_id int, text string").write.parquet(source)
