@@ -7,7 +7,6 @@ up the new text. 8-bit sources with wider targets work on UTF-8 bytes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
