@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table, written
-from .textblock import SPACE, U64, blocks, column, mix, word_hashes, words
+from .textblock import SPACE, U64, blocks, column, distinct, mix, word_hashes, words
 
 FEATURE_BITS = 18
 TRAIN_ROWS, TRAIN_FEATURES = 16_384, 24_000_000
@@ -47,7 +47,7 @@ def indicators(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         x = data[lo : hi + 2].astype(U64)
         three = mix((x[:-2] << U64(16)) | (x[1:-1] << U64(8)) | x[2:])
         inside = owner[lo:hi] == owner[lo + 2 : hi + 2]
-        keys.append(np.unique((owner[lo:hi] | (three & _MASK).astype(kind))[inside]))
+        keys.append(distinct((owner[lo:hi] | (three & _MASK).astype(kind))[inside]))
     start, end, first = words(data, off, SPACE)
     if len(start):
         h, own = word_hashes(data, start, end), np.repeat(np.arange(docs, dtype=kind) << kind(FEATURE_BITS), np.diff(first))
@@ -56,7 +56,7 @@ def indicators(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         inside = own[:-1] == own[1:]
         keys.append(own | (h & _MASK).astype(kind))
         keys.append((own[:-1] | (pair & _MASK).astype(kind))[inside])
-    every = np.unique(np.concatenate(keys))
+    every = distinct(np.concatenate(keys))
     return (every & kind(_MASK)).astype(np.int64), np.searchsorted(every, np.arange(docs + 1, dtype=np.uint64) << U64(FEATURE_BITS))
 
 

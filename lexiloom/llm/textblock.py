@@ -59,6 +59,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by a sort, which is several times faster here than ``np.unique``, that hashes."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The named column as non-null large strings."""
     a = batch.column(batch.schema.get_field_index(name))
