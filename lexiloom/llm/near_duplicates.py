@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import dropped, joined, settled, table, written
-from .textblock import SPACE, U64, blocks, column, mix, word_hashes, words
+from .textblock import SPACE, U64, blocks, column, distinct, mix, word_hashes, words
 
 VALUES, BITS, CHUNKS = 64, 8, 12
 DISTANCE = 2 * CHUNKS - 1
@@ -78,7 +78,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
         doc, values = doc[by], values[by]
         cuts = np.searchsorted(doc, np.arange(len(n) + 1))
     for d in range(len(n)):
-        own = np.unique(values[cuts[d] : cuts[d + 1]])
+        own = distinct(values[cuts[d] : cuts[d + 1]])
         sizes[d] = len(own)
         out.append(own)
     return (np.concatenate(out) if out else np.zeros(0, U64)), np.concatenate([[0], np.cumsum(sizes)])
