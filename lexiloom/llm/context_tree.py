@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table, written
-from .textblock import LOWER, SPACE, U64, blocks, column, mix, word_hashes, words
+from .textblock import LOWER, SPACE, U64, blocks, column, distinct, mix, word_hashes, words
 
 DEPTH = 4
 END = 255  # no byte of UTF-8
@@ -73,9 +73,23 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, start, end).view(np.int64), first
 
 
+def _runs(a: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in sorted values."""
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+
+
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(which, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+    keys, n = (np.concatenate(x) for x in zip(*held))
+    by = np.argsort(keys, kind="stable")
+    first = _runs(keys[by])
+    return keys[by][first], np.add.reduceat(n[by], first) if len(first) else n
+
+
+def _times(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their numbers; by a sort, which is much faster than an inverse of ``np.unique``."""
+    keys = np.sort(keys)
+    first = _runs(keys)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -102,11 +116,12 @@ def _counted(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
         for lo, hi, data, off in blocks(texts):
             train = ~away[lo:hi]
             key, doc = strings(data, off, depth)
-            keys, which = np.unique(key, return_inverse=True)
-            yield from add(GRAM, keys, np.bincount(which, train[doc], len(keys)).astype(np.int64))
+            yield from add(GRAM, *_times(key[train[doc]]))
+            only = distinct(key[~train[doc]])
+            yield from add(GRAM, only, np.zeros(len(only), np.int64))
             word, first = tokens(data, off)
             word = word[np.repeat(train, np.diff(first))]
-            keys, n = np.unique(word, return_counts=True)
+            keys, n = _times(word)
             if train.any():
                 keys, n = np.append(keys, END_WORD), np.append(n, train.sum())
             yield from add(WORD, keys, n)
@@ -270,12 +285,23 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 _PART = "pmod(key ^ shiftright(key, 17) ^ shiftright(key, 31), {parts})"
 
 
-def _sums(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray, rows: int, k: int, parts: int, value) -> tuple[np.ndarray, np.ndarray]:
-    """By owner, the sums of ``value`` over the keys of block ``k``, and how many of them the table has."""
+def _word_sums(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray, rows: int, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """By owner, the sums of log10(count + 1) over the words of block ``k``, and how many of them the table has."""
+    own = np.flatnonzero(_part(keys, parts) == k)
+    own = own[np.argsort(keys[own])]
+    values, there = _found(table_, keys[own])  # sorted queries stay in the cache
+    return np.bincount(owner[own], np.log10(values + 1), rows).astype(np.float64), np.bincount(owner[own], there, rows).astype(np.int64)
+
+
+def _string_sums(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray, rows: int, k: int, parts: int, depth: int) -> np.ndarray:
+    """By owner, the sums of the values of the strings of block ``k``. Key and owner are sorted as one number."""
+    bits = 8 * (depth + 1)
     own = np.flatnonzero(_part(keys, parts) == k)
-    some, which = np.unique(keys[own], return_inverse=True)
-    values, there = _found(table_, some)
-    return np.bincount(owner[own], value(values)[which], rows).astype(np.float64), np.bincount(owner[own], there[which], rows).astype(np.int64)
+    both = np.sort(keys[own].view(U64) << U64(64 - bits) | owner[own].astype(U64))
+    keys, owner = (both >> U64(64 - bits)).view(np.int64), (both & U64((1 << (64 - bits)) - 1)).view(np.int64)
+    first = _runs(keys)
+    values, _ = _found(table_, keys[first])
+    return np.bincount(owner, np.repeat(values, np.diff(np.append(first, len(keys)))), rows).astype(np.float64)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], block, depth: int, k: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -284,11 +310,11 @@ def _scored(batches: Iterator[pa.RecordBatch], block, depth: int, k: int, parts:
     for batch in batches:
         for lo, hi, data, off in blocks(column(batch, "text")):
             key, doc = strings(data, off, depth)
-            score, _ = _sums(grams, key, doc, hi - lo, k, parts, lambda v: v)
+            score = _string_sums(grams, key, doc, hi - lo, k, parts, depth)
             word, first = tokens(data, off)
             own = np.concatenate([np.repeat(np.arange(hi - lo), np.diff(first)), np.arange(hi - lo)])
             word = np.concatenate([word, np.full(hi - lo, END_WORD)])
-            base, known = _sums(vocabulary, word, own, hi - lo, k, parts, lambda v: np.log10(v + 1))
+            base, known = _word_sums(vocabulary, word, own, hi - lo, k, parts)
             # two hashes of the text, for adding up
             ends = np.concatenate([[0], np.cumsum(np.diff(off) + 1)])
             place = (np.arange(len(key)) - ends[doc]).view(U64)
@@ -310,6 +336,8 @@ def scored(docs: DataFrame, held_out: Column | None = None, text: str = "text",
 
     ``held_out``: by doc_id, rows that aren't learned from. Scores are log10 probabilities; the last is the code length.
     """
+    if not 2 <= depth <= 5:  # a string's key and its text's place in a batch are sorted as one 64-bit number
+        raise ValueError(f"depth is 2 to 5, not {depth}")
     out = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", out.alias("held_out"), "text")
     grams, vocabulary, total, distinct = model(rows, depth)
