@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import dropped, joined, settled, table, written
+from .shared import dropped, joined, settled, spread, table, written
 from .textblock import SPACE, U64, blocks, column, distinct, mix, word_hashes, words
 
 VALUES, BITS, CHUNKS = 64, 8, 12
@@ -241,10 +241,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _degree(roots: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, n_links) for components (node, root) of at least two sets, from the sets (rep, shingles) of all nodes."""
-    sets = sets.join(roots.withColumnRenamed("node", "rep"), "rep")
+    sets = sets.join(spread(roots.withColumnRenamed("node", "rep")), "rep")
     parts = sets.groupBy("root").agg(F.count("*").alias("c"), F.sum(F.size("shingles")).alias("s"))
     parts = parts.select("root", F.expr(f"1 + greatest(c div {BLOCK_SETS}, s div {BLOCK_SHINGLES})").alias("parts"))
-    rows = sets.join(parts, "root").withColumn("own", F.expr("pmod(xxhash64(rep), parts)"))
+    rows = sets.join(spread(parts), "root").withColumn("own", F.expr("pmod(xxhash64(rep), parts)"))
     rows = rows.withColumn("k", F.explode(F.expr("sequence(0L, parts - 1)"))).select("root", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "rep", "shingles")
     rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     return rows.mapInArrow(_counted, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
@@ -261,9 +261,9 @@ def connected(edges: DataFrame, written=written) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(spread(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(spread(low), "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = written(small, "edges")
         state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -278,12 +278,12 @@ def _fetched(ends: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """(rep, shingles) of the nodes ``ends`` (rep)."""
     ends = written(ends, "ends")
     bits = min(FILTER_BITS, max(16, (ends.count() * FILTER_LOAD).bit_length()))
-    words = sigs.join(ends, "rep", "left_semi").select("class_id").mapInArrow(lambda it: _marks(it, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = sigs.join(spread(ends), "rep", "left_semi").select("class_id").mapInArrow(lambda it: _marks(it, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     filled = np.zeros(1 << (bits - 6), np.int64)  # at most 2 ** (FILTER_BITS - 6) words
     filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     marks = texts.sparkSession.sparkContext.broadcast(filled.tobytes())
     sets = texts.mapInArrow(lambda it: _sets(it, marks), "rep long, shingles array<long>")  # the filter has no false negatives
-    sets = sets.join(ends, "rep", "left_semi").groupBy("rep").agg(F.first("shingles").alias("shingles"))  # of rows with equal texts one
+    sets = sets.join(spread(ends), "rep", "left_semi").groupBy("rep").agg(F.first("shingles").alias("shingles"))  # of rows with equal texts one
     return written(sets, "sets")
 
 
@@ -294,25 +294,25 @@ def sharing_rare(sets: DataFrame) -> DataFrame:
     """
     tokens = sets.select("rep", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     many = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    own = tokens.join(many, "s").groupBy("rep", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("t"))  # a set's own shingles
+    own = tokens.join(spread(many), "s").groupBy("rep", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("t"))  # a set's own shingles
     # a set's shingles that no other has are its rarest
     prefix = F.expr(f"n - cast(ceil(n * {THRESHOLD} / 100) as int) + 1 - (n - size(t))")
     rare = own.select("rep", "root", "n", F.explode(F.slice("t", F.lit(1), F.greatest(prefix, F.lit(0)))).alias("x")).select("rep", "root", "n", "x.s")
     rare = written(rare, "rare")
     left, right = (rare.select("s", F.col("rep").alias(a), F.col("root").alias(f"r{a}"), F.col("n").alias(f"n{a}")) for a in "ab")
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * THRESHOLD
-    return left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    return left.join(spread(right), "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) whose full sets are similar enough, and the sets. Distances are tested first, on signatures."""
     x = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx"))
     y = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny"))
-    near = pairs.join(x, "a").join(y, "b").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * THRESHOLD).select("a", "b", "x", "y")
+    near = pairs.join(spread(x), "a").join(spread(y), "b").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * THRESHOLD).select("a", "b", "x", "y")
     near = written(near.mapInArrow(_near, "a long, b long"), "near")
     ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
     sets = _fetched(ends, sigs, texts)
-    found = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
+    found = near.join(spread(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s"))), "a").join(spread(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t"))), "b")
     both = F.size(F.array_intersect("s", "t"))
     return found.select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("sum")).where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * THRESHOLD).select("a", "b"), sets
 
@@ -334,20 +334,20 @@ def _found(docs: DataFrame, text: str, key: str) -> DataFrame:
     links = written(links, "links")
     roots = connected(links)
     # sets under keys where several components meet
-    of = written(members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "roots")
+    of = written(members.join(spread(roots.withColumnRenamed("node", "rep")), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "roots")
     meet = of.groupBy("key").agg((F.min("root") < F.max("root")).alias("meet"), F.count("*").alias("times"))
     left = written(joined(of, written(meet, "meet"), ["key"], "times").where("meet").select("rep", "root").distinct(), "left")
-    others = sharing_rare(_fetched(left.select("rep"), sigs, texts).join(left, "rep")).join(tested, ["a", "b"], "left_anti")
+    others = sharing_rare(_fetched(left.select("rep"), sigs, texts).join(spread(left), "rep")).join(spread(tested), ["a", "b"], "left_anti")
     more, further = _confirmed(others, sigs, texts)
     more = written(more, "links")
     if not more.isEmpty():
         links = written(links.unionByName(more), "links")
         roots = connected(links)
-    degree = written(_degree(roots, sets.unionByName(further.join(sets, "rep", "left_anti"))), "degrees")
-    linked = roots.withColumnRenamed("node", "rep").join(classes.select("rep", "class_id"), "rep")
+    degree = written(_degree(roots, sets.unionByName(further.join(spread(sets), "rep", "left_anti"))), "degrees")
+    linked = roots.withColumnRenamed("node", "rep").join(spread(classes.select("rep", "class_id")), "rep")
     names = linked.groupBy("root").agg(F.min(F.struct("class_id", "rep")).alias("first"))
-    linked = linked.select("rep", "root").join(names, "root").join(degree, "rep").select("rep", "first", "n_links")
-    classes = classes.join(linked, "rep", "left").select("n", "h1", "h2", "n_rows", "class_id", F.coalesce("first.class_id", "class_id").alias("component_id"), F.coalesce(F.col("first.rep") == F.col("rep"), F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = linked.select("rep", "root").join(spread(names), "root").join(spread(degree), "rep").select("rep", "first", "n_links")
+    classes = classes.join(spread(linked), "rep", "left").select("n", "h1", "h2", "n_rows", "class_id", F.coalesce("first.class_id", "class_id").alias("component_id"), F.coalesce(F.col("first.rep") == F.col("rep"), F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     signed = signed.drop("sig", "rep")
     linked = F.expr("n > 0 and doc_id is not null")
     out = joined(signed.where(linked), written(classes, "found"), ["n", "h1", "h2"], "n_rows").unionByName(signed.where(~linked), allowMissingColumns=True)

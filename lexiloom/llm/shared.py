@@ -82,6 +82,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a join by sorting on both sides: never broadcast for an estimated size, which the driver may fail to hold."""
+    return df.hint("merge")
+
+
 def joined(rows: DataFrame, stats: DataFrame, on: Sequence[str], weight: str, share: int = 500) -> DataFrame:
     """``rows`` left-joined with ``stats``, which has one row a key and in ``weight`` how many of ``rows`` have it.
 
@@ -93,5 +98,5 @@ def joined(rows: DataFrame, stats: DataFrame, on: Sequence[str], weight: str, sh
     hot = stats.where(F.col(weight) * share >= F.lit(total)).select(*on, *rest) if total else stats.select(*on, *rest).limit(0)
     cold = stats.where(F.col(weight) * share < F.lit(total)).select(*on, *rest)
     first = rows.join(F.broadcast(hot), list(on))
-    second = rows.join(F.broadcast(hot.select(*on)), list(on), "left_anti").join(cold, list(on), "left")
+    second = rows.join(F.broadcast(hot.select(*on)), list(on), "left_anti").join(spread(cold), list(on), "left")
     return first.unionByName(second)

@@ -96,3 +96,20 @@ def test_clashing_columns_and_empty_tables(spark):
     assert [r[0] for r in got] == [1, 3]
     empty = docs.where("false")
     assert nd.near_duplicates(empty).count() == 0 and nd.one_per_component(empty).count() == 0
+
+
+def unhinted(monkeypatch, make) -> list[str]:
+    """The joins of all plans that ``make`` runs for which Spark may broadcast a side by an estimate of its size."""
+    plans = []
+    with monkeypatch.context() as m:
+        m.setattr(nd, "written", lambda df, name, own=nd.written: (plans.append(df), own(df, name))[1])
+        plans.append(make())
+    lines = [line for df in plans for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    assert len(lines) > 10
+    return [line for line in lines if "strategy=" not in line]
+
+
+def test_no_table_is_broadcast_for_its_estimated_size(spark, monkeypatch):
+    texts = copies(5, 120, 3, 1) + family(4, 240, 60, 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert unhinted(monkeypatch, lambda: nd.near_duplicates(docs)) == []
