@@ -375,12 +375,12 @@ def one_per_component(docs: DataFrame, text: str = "text", key: str = "doc_id")
     ids = written(ids, "ids")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(whole.alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    alone = rows.join(ids.select("id"), "id", "left_anti").select("row")
+    alone = rows.join(spread(ids.select("id")), "id", "left_anti").select("row")
     many = ids.where("rows > 1").select("id")
-    sets = found.where("kept").join(many, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
-    rows = rows.join(many, "id").select("row", "id", "text")
+    sets = found.where("kept").join(spread(many), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    rows = rows.join(spread(many), "id").select("row", "id", "text")
     schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in ("_n", "_h1", "_h2"))])
-    rows = rows.mapInArrow(lambda it: _hashed(it, "text"), schema).join(sets, ["id", "_n", "_h1", "_h2"], "left_semi")
+    rows = rows.mapInArrow(lambda it: _hashed(it, "text"), schema).join(spread(sets), ["id", "_n", "_h1", "_h2"], "left_semi")
     # of a kept set's rows the first by content; rows without words all stay
     marked = rows.select("row", "id", "_n", "_h1", "_h2", F.xxhash64("text", F.to_json("row")).alias("at"))
     first = marked.where("_n > 0").groupBy("id", "_n", "_h1", "_h2").agg(F.min_by("row", "at").alias("row")).select("row")

@@ -113,3 +113,12 @@ def test_no_table_is_broadcast_for_its_estimated_size(spark, monkeypatch):
     texts = copies(5, 120, 3, 1) + family(4, 240, 60, 8)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert unhinted(monkeypatch, lambda: nd.near_duplicates(docs)) == []
+
+
+def test_the_pipelines_stage_broadcasts_no_table_either(spark, monkeypatch):
+    texts = copies(3, 120, 3, 1)
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (2, texts[2])], "doc_id long, text string")
+    found = spark.createDataFrame([(1, True, 118, 1, 1), (2, False, 118, 2, 2), (2, True, 118, 3, 3)], "doc_id long, kept boolean, n long, h1 long, h2 long")
+    monkeypatch.setattr(nd, "settled", lambda *_: found)
+    lines = [line for line in nd.one_per_component(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    assert lines and all("strategy=merge" in line for line in lines)
