@@ -12,9 +12,11 @@ probability computed, where its context is found, and no score falls back on any
 
 - All strings whose context ends with the same two bytes are one subtree and one group, at most 2 ** 24 of them; in it
   the deeper depths are weighted. The two upper depths have at most 256 * 255 nodes in sum and are weighted on the driver.
-- String probabilities and word counts reach the scoring tasks in blocks of about ``BLOCK`` rows, one broadcast each,
-  with a pass over the texts for each block, which looks up its own keys only; a row's partial sums are added up by
-  doc_id and text hash. So memory is bounded at any size, and reading is not: passes grow with distinct words.
+- String probabilities reach the scoring tasks in blocks of about ``BLOCK`` rows, one broadcast each, with a pass over
+  the texts for each block, which looks up its own keys only; a row's partial sums are added up by doc_id and text
+  hash. Distinct strings level off, and so do passes.
+- The ``BLOCK`` most frequent words are looked up in the first pass. Words of a text that aren't among them, a few in a
+  hundred, are joined with the other counts by a shuffle. So memory is bounded, and passes don't grow with distinct words.
 
 Base score: add-one unigrams of words and text ends, of the same training texts.
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import spread, table, written
 from .textblock import LOWER, SPACE, U64, blocks, column, distinct, mix, word_hashes, words
 
 DEPTH = 4
@@ -285,12 +287,15 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 _PART = "pmod(key ^ shiftright(key, 17) ^ shiftright(key, 31), {parts})"
 
 
-def _word_sums(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray, rows: int, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """By owner, the sums of log10(count + 1) over the words of block ``k``, and how many of them the table has."""
-    own = np.flatnonzero(_part(keys, parts) == k)
-    own = own[np.argsort(keys[own])]
-    values, there = _found(table_, keys[own])  # sorted queries stay in the cache
-    return np.bincount(owner[own], np.log10(values + 1), rows).astype(np.float64), np.bincount(owner[own], there, rows).astype(np.int64)
+def _word_sums(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """By owner, the sums of log10(count + 1) over the words that the table has, how many these are, and the other words."""
+    by = np.argsort(keys)
+    keys, owner = keys[by], owner[by]
+    values, there = _found(table_, keys)  # sorted queries stay in the cache
+    other, whose = keys[~there], owner[~there]
+    first = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=rows))])
+    others = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(other[np.argsort(whose, kind="stable")]))
+    return np.bincount(owner, np.log10(values + 1), rows).astype(np.float64), np.bincount(owner, there, rows).astype(np.int64), others
 
 
 def _string_sums(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray, rows: int, k: int, parts: int, depth: int) -> np.ndarray:
@@ -305,7 +310,10 @@ def _string_sums(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, owner:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], block, depth: int, k: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, held_out, x, y, n_bytes, n_tokens, n_known, base, score): what this block's keys add to each row's sums."""
+    """(doc_id, held_out, x, y, n_bytes, n_tokens, n_known, base, score, others): what this block's keys add to each row's sums.
+
+    ``others``: words to be looked up elsewhere. A block without a vocabulary adds nothing for words.
+    """
     grams, vocabulary = block.value
     for batch in batches:
         for lo, hi, data, off in blocks(column(batch, "text")):
@@ -314,23 +322,43 @@ def _scored(batches: Iterator[pa.RecordBatch], block, depth: int, k: int, parts:
             word, first = tokens(data, off)
             own = np.concatenate([np.repeat(np.arange(hi - lo), np.diff(first)), np.arange(hi - lo)])
             word = np.concatenate([word, np.full(hi - lo, END_WORD)])
-            base, known = _word_sums(vocabulary, word, own, hi - lo, k, parts)
+            if vocabulary is None:
+                base, known, others = np.zeros(hi - lo), np.zeros(hi - lo, np.int64), pa.nulls(hi - lo, pa.list_(pa.int64()))
+            else:
+                base, known, others = _word_sums(vocabulary, word, own, hi - lo)
             # two hashes of the text, for adding up
             ends = np.concatenate([[0], np.cumsum(np.diff(off) + 1)])
             place = (np.arange(len(key)) - ends[doc]).view(U64)
             total = [np.concatenate([[U64(0)], np.cumsum(mix(key.view(U64) * U64(m) + place))]) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
             x, y = ((t[ends[1:]] - t[ends[:-1]]).view(np.int64) for t in total)
             rest = [batch.column(c).slice(lo, hi - lo) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(x), pa.array(y), pa.array(np.diff(off)), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "held_out", "x", "y", "n_bytes", "n_tokens", "n_known", "base", "score"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(x), pa.array(y), pa.array(np.diff(off)), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(score), others], ["doc_id", "held_out", "x", "y", "n_bytes", "n_tokens", "n_known", "base", "score", "others"])
 
 
-def _block(df: DataFrame, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    got = df.where(F.expr(_PART.format(parts=parts)) == k).toArrow()
+def _block(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = df.toArrow()
     keys, values = got.column("key").to_numpy(), got.column("value").to_numpy()
     by = np.argsort(keys)
     return keys[by], values[by]
 
 
+def _frequent(vocabulary: DataFrame) -> float:
+    """The least count that at most ``BLOCK`` words reach, all words with it included."""
+    times = vocabulary.groupBy("value").agg(F.count("*").alias("n")).toArrow()  # fewer rows than the root of twice the words of all texts
+    values, n = times.column("value").to_numpy(), times.column("n").to_numpy()
+    by = np.argsort(-values)
+    fits = values[by][np.cumsum(n[by]) <= BLOCK]
+    return float(fits[-1]) if len(fits) else np.inf
+
+
+def _with_others(first: DataFrame, rest: DataFrame) -> DataFrame:
+    """The sums ``first`` with what their other words add by ``rest`` (key, value), the counts that were not broadcast."""
+    found = first.select("row", F.explode("others").alias("key")).join(spread(rest), "key")  # words without a count add nothing
+    more = found.groupBy("row").agg(F.count("*").alias("_n_known"), F.sum(F.log10(F.col("value") + 1)).alias("_base"))
+    plus = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).alias(c)
+    return first.join(spread(more), "row", "left").select(*[plus(c, f"_{c}") if c in ("n_known", "base") else c for c in first.columns])
+
+
 def scored(docs: DataFrame, held_out: Column | None = None, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row.
 
@@ -341,12 +369,18 @@ def scored(docs: DataFrame, held_out: Column | None = None, text: str = "text",
     out = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", out.alias("held_out"), "text")
     grams, vocabulary, total, distinct = model(rows, depth)
-    parts = 1 + 2 * (max(grams.count(), vocabulary.count()) // (2 * BLOCK))  # odd, so that low bits don't decide alone
+    parts = 1 + 2 * (grams.count() // (2 * BLOCK))  # odd, so that low bits don't decide alone
+    least = _frequent(vocabulary)
+    often, rest = vocabulary.where(F.col("value") >= least), vocabulary.where(F.col("value") < least)
     passes = []
     for k in range(parts):
-        block = docs.sparkSession.sparkContext.broadcast((_block(grams, k, parts), _block(vocabulary, k, parts)))  # about BLOCK rows each
-        passes.append(written(rows.mapInArrow(lambda it, b=block, k=k: _scored(it, b, depth, k, parts), "doc_id long, held_out boolean, x long, y long, n_bytes long, n_tokens long, n_known long, base double, score double"), "pass"))
+        block = docs.sparkSession.sparkContext.broadcast((_block(grams.where(F.expr(_PART.format(parts=parts)) == k)), None if k else _block(often)))  # about BLOCK rows each
+        one = rows.mapInArrow(lambda it, b=block, k=k: _scored(it, b, depth, k, parts), "doc_id long, held_out boolean, x long, y long, n_bytes long, n_tokens long, n_known long, base double, score double, others array<long>")
+        passes.append(written(one.drop("others") if k else one.withColumn("row", F.monotonically_increasing_id()), "pass"))
         block.destroy()
+    if not rest.isEmpty():
+        passes[0] = _with_others(passes[0], rest)
+    passes[0] = passes[0].drop("others", "row")
     sums = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "held_out", "x", "y", "n_bytes", "n_tokens").agg(F.count("*").alias("r"), *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
     copies = (F.col("r") / parts).cast("long")
     base = F.col("base") / copies - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))

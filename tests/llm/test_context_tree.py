@@ -111,3 +111,20 @@ def test_empty_tables_and_no_training_texts(spark):
     one = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     r = ct.scored(one, F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (2, 0, 0) and r.score == pytest.approx(24 * math.log10(0.5))
+
+
+def test_passes_do_not_grow_with_distinct_words(spark, monkeypatch):
+    words = ["".join("ab"[n >> j & 1] for j in range(11)) for n in range(2048)]
+    texts = [" ".join(words[k::8] * (1 + k % 2)) for k in range(8)] + [" ".join([*words[:40], "b a", "a"])] * 2 + [None]
+    names = []
+    monkeypatch.setattr(ct, "BLOCK", 600)  # fewer than the words; all strings fit
+    monkeypatch.setattr(ct, "written", lambda df, name, own=ct.written: (names.append(name), own(df, name))[1])
+    docs = spark.createDataFrame([(min(k, 8), t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = ct.scored(docs, F.col("doc_id").isin(3, 8)).select("doc_id", "n_tokens", "n_known", "base_score").collect()
+    assert names.count("pass") == 1
+    tokens = [(min(k, 8), [*(t or "").split(), "<end>"]) for k, t in enumerate(texts)]
+    c = Counter(w for d, ws in tokens if d not in (3, 8) for w in ws)
+    n = sum(c.values()) + len(c) + 1
+    want = sorted((d, len(ws), sum(w in c for w in ws), sum(math.log10((c[w] + 1) / n) for w in ws)) for d, ws in tokens)
+    for g, w in zip(sorted(map(tuple, got)), want, strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9)
