@@ -33,7 +33,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NEAR, LEAST_CONTEXTS, GENERALISED, REMOVED = 5, 3, 0.8, 0.9
-#: Code points beside a match in which its ``NEAR`` words are sought; words are cut at no other place.
+#: Code points beside a match in which its ``NEAR`` words are sought first; see ``_beside``.
 _BESIDE = 512
 _WORD = r"[\p{L}\p{M}]{3,}"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -110,10 +110,16 @@ def _terms(piece: Column, at: Column, last: bool) -> Column:
     return let(F.regexp_extract_all(piece, F.lit(_WORD), F.lit(0)), lambda w: F.when(F.size(w) == 0, none).otherwise(of(w)))
 
 
+def _beside(gap: Column, end) -> Column:
+    """As much of a gap as its ``NEAR`` words at this ``end`` need: all of it, unless more words are in ``_BESIDE`` code points, where only the last one may be cut."""
+    few = lambda p: F.size(F.regexp_extract_all(p, F.lit(_WORD), F.lit(0))) <= NEAR
+    return let(end(gap, F.lit(_BESIDE)), lambda p: F.when((F.length(gap) > _BESIDE) & few(p), gap).otherwise(p))
+
+
 def _context(kind: str, x: Column, normal) -> Column:
     """struct(entity, terms near it, hash of what is around it)."""
-    before = F.right(x["before"], F.lit(_BESIDE))
-    after = F.left(x["after"], F.lit(_BESIDE))
+    before = _beside(x["before"], F.right)
+    after = _beside(x["after"], F.left)
     near = let(before, lambda b: let(after, lambda a: F.struct(F.concat(_terms(b, x["start"] - F.length(b), True), _terms(a, x["end"], False)).alias("terms"), F.xxhash64(F.right(b, F.lit(64)), F.left(a, F.lit(64))).alias("around"))))
     return F.struct(F.concat(F.lit(f"{kind}:"), normal(x["value"])).alias("entity"), near.alias("near"))
 

@@ -111,3 +111,13 @@ def test_running_sums(spark, n):
 def test_empty_table(spark):
     assert pii.personal(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_words_near_a_match_are_found_however_far_off_and_long(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    long = "q" * 700
+    data = [f"{say(30)} Zaphod {long}{' ' * 600}zaphod@heart.gold.example {k}{'-' * 600} Beeblebrox {say(20)}" for k in range(6)] + [say(200) for _ in range(20)]
+    rows = pii.personal(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").coalesce(1)).collect()
+    terms = {r.doc_id: {data[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"} for r in rows}
+    assert all(terms[k] == ({"Zaphod", long, "Beeblebrox"} if k < 6 else set()) for k in range(26))
