@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import matching, normalize, splitters
 from lexiloom.functions.codemap import CodeMap
-from lexiloom.functions.columns import nested
+from lexiloom.functions.columns import let, nested
 from lexiloom.functions.normalize import PythonText, UnicodeFlags
 from lexiloom.plans.nodes import Node
 from lexiloom.plans.stages import DOCUMENT, SENTENCE, SUBSENTENCE, TOKEN, WORD, Stage, kind
@@ -370,6 +370,10 @@ class _Chain:
         out.base = plan
         return out
 
+    @property
+    def splits_words(self) -> bool:
+        return self.base.split_word(F.lit("")) is not None
+
 
 def _apply(steps: list, texts: Column, depth: int) -> Column:
     for f in steps:
@@ -396,38 +400,49 @@ def _on_gap(f: Callable[[Column], Column]):
 
 
 def compiled(plan: Any, stage: str | Stage, text: Column) -> Column:
-    """Sentences of words of tokens: array<array<array<struct<ismatch, x>>>>; other stages have one sentence."""
+    """Sentences of words of tokens, three arrays deep; other stages have one sentence. A token is (ismatch, x) where the plan has patterns, else its text."""
     chain, own = _Chain.of(plan), kind(stage)
-    full = lambda a, test: F.filter(a, test)
+    return F.when(text.isNotNull(), _split(chain, own, _sentences(chain, own, text)))
+
+
+def _sentences(chain: _Chain, own: Stage, text: Column) -> Column:
+    """Rewritten sentences of a text; an empty token has none."""
     if own == TOKEN:
-        return F.when(text == "", F.array().cast(_DEEP)).when(text.isNotNull(), F.array(F.array(F.array(_piece(text)))))
+        return F.filter(F.array(text), lambda s: s != "")
     sentences = F.filter(chain.base.split_document(text), lambda s: s != "") if own == DOCUMENT else F.array(text)
-    sentences = _apply(chain.before, sentences, 1)
+    return _apply(chain.before, sentences, 1)
+
+
+def _split(chain: _Chain, own: Stage, sentences: Column) -> Column:
+    """Tokens of words of rewritten sentences. Texts get no struct around them unless there are patterns: every level costs time by the token."""
+    full = lambda a, test: F.filter(a, test)
+    if own == TOKEN:
+        return F.transform(sentences, lambda s: F.array(F.array(_piece(s) if chain.patterns else s)))
+    if not chain.patterns:
+        split = chain.base.split_subsentence if own == SUBSENTENCE else chain.base.split_sentence
+        words = F.transform(sentences, lambda s: F.array(s) if own == WORD else full(split(s), lambda w: w != ""))
+        words = _apply(chain.words, words, 2)
+        if own == WORD or chain.words:
+            words = F.transform(words, lambda ws: full(ws, lambda w: w != ""))
+        return _tokens(chain, words, lambda w: full(chain.base.split_word(w), lambda t: t != ""))
     # pieces of every sentence
-    if chain.patterns:
-        pieces = F.transform(sentences, lambda s: matching.matchsplits(s, chain.patterns))
-    else:
-        pieces = F.transform(sentences, lambda s: F.array(_piece(s)))
+    pieces = F.transform(sentences, lambda s: matching.matchsplits(s, chain.patterns))
     if own != WORD:
         pieces = _rewritten(pieces, chain.inside, 2)
-        split = chain.base.split_subsentence if own == SUBSENTENCE and not chain.patterns else chain.base.split_sentence
-        part = lambda p: F.when(p["ismatch"], F.array(p)).otherwise(F.transform(full(split(p["x"]), lambda w: w != ""), lambda x: _piece(x)))
+        part = lambda p: F.when(p["ismatch"], F.array(p)).otherwise(F.transform(full(chain.base.split_sentence(p["x"]), lambda w: w != ""), lambda x: _piece(x)))
         words = F.transform(pieces, lambda ps: F.flatten(F.transform(ps, part)))
     else:
         # a bare word: outside the match wrapper it counts as a sentence for normalizers, inside it doesn't
         words = pieces
-        if not chain.patterns:
-            words = _rewritten(words, chain.inside, 2)
     words = F.transform(_rewritten(words, chain.words, 2), lambda ws: full(ws, lambda w: w["x"] != ""))
-    probe = chain.base.split_word(F.lit(""))
-    if probe is None:
-        tokens = lambda w: F.array(w)
-    else:
-        tokens = lambda w: F.when(w["ismatch"], F.array(w)).otherwise(F.transform(full(chain.base.split_word(w["x"]), lambda t: t != ""), lambda x: _piece(x)))
-    return F.when(text.isNotNull(), F.transform(words, lambda ws: F.filter(F.transform(ws, tokens), lambda w: F.size(w) > 0)))
+    return _tokens(chain, words, lambda w: F.when(w["ismatch"], F.array(w)).otherwise(F.transform(full(chain.base.split_word(w["x"]), lambda t: t != ""), lambda x: _piece(x))))
 
 
-_DEEP = "array<array<array<struct<ismatch:boolean,x:string>>>>"
+def _tokens(chain: _Chain, words: Column, split: Callable[[Column], Column]) -> Column:
+    """Each word's tokens; words without any are left out."""
+    if not chain.splits_words:
+        return F.transform(words, lambda ws: F.transform(ws, lambda w: F.array(w)))
+    return F.transform(words, lambda ws: F.filter(F.transform(ws, split), lambda w: F.size(w) > 0))
 
 
 def _numbered(plan: Any, stage: str | Stage, text: Column, document_id: Column | None, sentence_id: Column | None) -> Column:
@@ -435,7 +450,7 @@ def _numbered(plan: Any, stage: str | Stage, text: Column, document_id: Column |
     chain, own = _Chain.of(plan), kind(stage)
 
     def token(t: Column, s: Column | None, w: Column | None, k: Column | None) -> Column:
-        fields = [t["x"].alias("x")]
+        fields = [(t["x"] if chain.patterns else t).alias("x")]
         if chain.indexed:
             if document_id is not None:
                 fields.append(document_id.cast("int").alias("document_id"))
@@ -474,6 +489,37 @@ class FlatTokenizer(Node):
     def transform(self, df: DataFrame, column: str = "text", stage: str | Stage = DOCUMENT, into: str = "tokens") -> DataFrame:
         return df.withColumn(into, self.apply(F.col(column), stage))
 
+    def rows(self, df: DataFrame, *keep: str, column: str = "text", stage: str | Stage = DOCUMENT) -> DataFrame:
+        """A row for each token: ``keep`` and the fields that ``apply`` gives its tokens.
+
+        Rows are made of sentences first, and of a sentence's plain arrays of texts and word numbers then: no token is
+        put into structs, and no array is longer than a sentence.
+        """
+        chain, own = _Chain.of(self.tokenization), kind(stage)
+        text = self.preprocess(F.col(column)) if self.preprocess else F.col(column)
+        sentences = df.select(*keep, F.posexplode(_sentences(chain, own, text)).alias("_sentence", "_text"))
+
+        def arrays(words: Column) -> Column:
+            flat = F.flatten(words)
+            fields = [(F.transform(flat, lambda t: t["x"]) if chain.patterns else flat).alias("x")]
+            if chain.patterns:
+                fields.append(F.transform(flat, lambda t: t["ismatch"]).alias("ismatch"))
+            if chain.indexed and chain.splits_words:
+                fields.append(F.flatten(F.transform(words, lambda w, i: F.array_repeat(i + 1, F.size(w)))).alias("word_id"))
+            return F.struct(*fields)
+
+        done = sentences.select(*keep, "_sentence", let(F.get(_split(chain, own, F.array("_text")), F.lit(0)), arrays).alias("_all"))
+        done = done.select(*keep, "_sentence", "_all", F.posexplode("_all.x").alias("_at", "x"))
+        at = F.col("_at") + 1
+        fields = {"x": F.col("x")}
+        if chain.indexed and own == DOCUMENT:
+            fields["sentence_id"] = F.col("_sentence") + 1
+        if chain.patterns:
+            fields["ismatch"] = F.get("_all.ismatch", "_at")
+        if chain.indexed:
+            fields |= {"word_id": F.get("_all.word_id", "_at") if chain.splits_words else at, "token_id": at}
+        return done.select(*keep, *[c.alias(k) for k, c in fields.items()])
+
     def __repr__(self) -> str:
         return f"FlatTokenizer({self.tokenization!r})"
 

@@ -144,8 +144,7 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
 select doc_id, sentence_id, word_id, word_id as token_id, word as x from w""")
 def indexed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     t = tk.FlatTokenizer(tk.IndexedTokenization(_LINES))
-    rows = _rows(_docs(spark, sf), t.apply(F.col("text"), DOCUMENT), "doc_id")
-    return rows.select("doc_id", *[F.col(f"item.{c}").cast("long").alias(c) for c in ("sentence_id", "word_id", "token_id")], "item.x")
+    return t.rows(_docs(spark, sf), "doc_id").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("sentence_id", "word_id", "token_id")], "x")
 
 
 @query(f"""with {_SENTENCES}, w as (select doc_id, sentence_id, unnest(ws) as word, generate_subscripts(ws, 1)::bigint as word_id from w0),
@@ -153,8 +152,7 @@ c as (select doc_id, sentence_id, word_id, unnest(string_split(word, '')) as x,
 select doc_id, sentence_id, word_id, row_number() over (partition by doc_id, sentence_id order by word_id, k)::bigint as token_id, x from c""")
 def indexed_chars(spark: SparkSession, sf: str) -> DataFrame:
     t = tk.FlatTokenizer(tk.IndexedTokenization(tk.SubwordTokenization(splitters.characters, _LINES)))
-    rows = _rows(_docs(spark, sf), t.apply(F.col("text"), DOCUMENT), "doc_id")
-    return rows.select("doc_id", *[F.col(f"item.{c}").cast("long").alias(c) for c in ("sentence_id", "word_id", "token_id")], "item.x")
+    return t.rows(_docs(spark, sf), "doc_id").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("sentence_id", "word_id", "token_id")], "x")
 
 
 @query(f"""with {_SENTENCES}, p as (select doc_id, sentence_id, k, ismatch, x from {_splits_sql('(select doc_id, sentence_id, sentence as x from s)', '[0-9]', 'k')}),
@@ -163,8 +161,7 @@ r as (select doc_id, sentence_id, k, ismatch, unnest(ws) as x, generate_subscrip
 select doc_id, sentence_id, ismatch, row_number() over (partition by doc_id, sentence_id order by k, j)::bigint as word_id, x from r""")
 def indexed_matches(spark: SparkSession, sf: str) -> DataFrame:
     t = tk.FlatTokenizer(tk.IndexedTokenization(tk.MatchTokenization(_LINES, [re.compile("[0-9]")])))
-    rows = _rows(_docs(spark, sf), t.apply(F.col("text"), DOCUMENT), "doc_id")
-    return rows.select("doc_id", F.col("item.sentence_id").cast("long").alias("sentence_id"), "item.ismatch", F.col("item.word_id").cast("long").alias("word_id"), "item.x")
+    return t.rows(_docs(spark, sf), "doc_id").select("doc_id", F.col("sentence_id").cast("long").alias("sentence_id"), "ismatch", F.col("word_id").cast("long").alias("word_id"), "x")
 
 
 @query(f"with {_SENTENCES} select doc_id, count(*) as n_sentences, sum(len(ws))::bigint as n_tokens, max(len(ws))::bigint as longest from w0 group by doc_id")
@@ -465,8 +462,7 @@ def word_function(spark: SparkSession, sf: str) -> DataFrame:
 def default_words(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences and words by the default rules; tests compare them with the fixtures."""
     t = tk.FlatTokenizer(tk.IndexedTokenization())
-    rows = _rows(_docs(spark, sf), t.apply(F.col("text"), DOCUMENT), "doc_id")
-    return rows.select("doc_id", *[F.col(f"item.{c}").cast("long").alias(c) for c in ("sentence_id", "word_id", "token_id")], "item.x")
+    return t.rows(_docs(spark, sf), "doc_id").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("sentence_id", "word_id", "token_id")], "x")
 
 
 @query()
